@@ -9,6 +9,9 @@ records, read backwards, give every node its root, depth and path.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +20,41 @@ from codeweft.operators.skew import join_on_skewed
 from codeweft.session import Scratch
 
 KEEP, RAKE, SPLICE, CYCLE = 0, 1, 2, 3
+#: Links left at which one task resolves the rest; a constant, so that task never grows with the data.
+BASE_CASE = 20_000
 
 
 def _heads(c: str, turn: int) -> Column:
     return F.xxhash64(F.col(c), F.lit(turn)) % 2 == 0
 
 
+def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The base case: links every node to its topmost ancestor, or marks it as part of a cycle."""
+    parts = list(batches)
+    if not parts:
+        return
+    rest = pd.concat(parts, ignore_index=True)
+    up = {n: (p, w, h) for n, p, w, h in zip(rest["node"], rest["parent"], rest["w"], rest["hops"])}
+    done: dict[str, tuple] = {}
+    for start in up:
+        way, seen, at = [], set(), start
+        while at in up and at not in done and at not in seen:
+            seen.add(at)
+            way.append(at)
+            at = up[at][0]
+        cyclic = at in seen or (at in done and done[at][3] == CYCLE)
+        for node in reversed(way):
+            parent, w, hops = up[node]
+            if cyclic:
+                done[node] = (node, w, None, CYCLE)
+            elif parent in done:
+                top, above, path, _ = done[parent]
+                done[node] = (top, above + w, None if hops is None else [*path, *hops], RAKE)
+            else:
+                done[node] = (parent, w, None if hops is None else list(hops), RAKE)
+    yield pd.DataFrame([(n, *v) for n, v in done.items()], columns=["node", "parent", "w", "hops", "op"])
+
+
 def contains_links(edges: DataFrame) -> DataFrame:
     """The distinct (parent, child) pairs of contains edges with two non-empty endpoints."""
     return (
@@ -32,12 +64,12 @@ def contains_links(edges: DataFrame) -> DataFrame:
     )
 
 
-def hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
+def hierarchy(links: DataFrame, with_paths: bool = False, base_case: int = BASE_CASE) -> DataFrame:
     """Root and depth of every id in ``links`` (parent, node): node_id, root_id, depth[, path].
 
     A root has depth 0 and itself as root. Ids on or below a cycle (a self-link is one) have root
     '' and depth -1, and with paths a null path; otherwise the path is the array of ids from the
-    root to the node. No child may have two parents; if one does, the least parent counts. Rows
+    root to the node. The last ``base_case`` links are resolved by one task. No child may have two parents; if one does, the least parent counts. Rows
     with a null are no links; repeated rows change nothing; no links give no rows.
     """
     spark = links.sparkSession
@@ -47,6 +79,9 @@ def hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
     active = first = scratch.save(start.select("node", "parent", F.lit(1).cast("long").alias("w"), hops.alias("hops")))
     rounds = []
     while True:
+        if active.limit(base_case + 1).count() <= base_case:
+            rounds.append(scratch.save(active.coalesce(1).mapInPandas(_resolve, "node string, parent string, w long, hops array<string>, op int")))
+            break
         turn = len(rounds)
         children = active.groupBy("parent").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("child")).withColumnRenamed("parent", "_p")
         op = (
@@ -67,8 +102,6 @@ def hierarchy(links: DataFrame, with_paths: bool = False) -> DataFrame:
         )
         rounds.append(step)
         active = step.where(F.col("op") == KEEP).drop("op")
-        if not active.limit(1).count():
-            break
     own = F.array("node_id") if with_paths else F.lit(None).cast("array<string>")
     tops = first.select(F.col("parent").alias("node_id")).distinct().join(first.select(F.col("node").alias("node_id")), "node_id", "left_anti")
     cores = [r.where(F.col("op") == CYCLE).select(F.col("node").alias("node_id"), F.lit("").alias("root_id"), F.lit(-1).cast("long").alias("depth"), F.lit(None).cast("array<string>").alias("path")) for r in rounds]
