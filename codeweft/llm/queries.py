@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.llm import handwritten as HW
+from codeweft.llm import parsing as PA
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +34,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_summary(spark: SparkSession, d: str) -> DataFrame:
     found = HW.classify_files(_contents(spark, d))
     return found.groupBy("repository", F.coalesce("reason", F.lit("hand-written")).alias("reason")).agg(F.count(F.lit(1)).alias("files"), F.sum("chars").alias("chars"))
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return PA.parse_files(_contents(spark, d)).where("valid = false").select("path")
+
+
+@query
+def p7_errors(spark: SparkSession, d: str) -> DataFrame:
+    return PA.parse_files(_contents(spark, d)).where("valid = false").select("path", "language", "n_errors", "first_cause", "first_line")
+
+
+@query
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    return PA.acceptance(PA.parse_files(_contents(spark, d)))
