@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeweft.llm import garbled as GA
 from codeweft.llm import handwritten as HW
+from codeweft.llm import leaks as LE
 from codeweft.llm import parsing as PA
+from codeweft.llm import tokenize as TO
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +52,39 @@ def p7_errors(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p7_rates(spark: SparkSession, d: str) -> DataFrame:
     return PA.acceptance(PA.parse_files(_contents(spark, d)))
+
+
+@query
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return TO.encode_corpus(table(spark, d, "documents"))
+
+
+@query
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return TO.decode_corpus(TO.encode_corpus(table(spark, d, "documents")))
+
+
+ORACLES["p8_decoded"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    leaks = LE.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.where(F.col("word_share") >= LE.LEAST).select("doc_id", "item_id")
+
+
+@query
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    leaks = LE.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("word_share").alias("word_share"), F.max("template_share").alias("template_share"))
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return GA.find_garbled(table(spark, d, "documents")).select("doc_id")
+
+
+@query
+def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
+    found = GA.find_garbled(table(spark, d, "documents"))
+    return found.select("doc_id", F.array_join("trips", ", ").alias("trips"), "lost", "repaired")
