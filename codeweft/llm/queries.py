@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeweft.llm import garbled as GA
 from codeweft.llm import handwritten as HW
 from codeweft.llm import leaks as LE
+from codeweft.llm import neighbours as NE
 from codeweft.llm import parsing as PA
 from codeweft.llm import tokenize as TO
 
@@ -39,6 +40,16 @@ def p2_summary(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("repository", F.coalesce("reason", F.lit("hand-written")).alias("reason")).agg(F.count(F.lit(1)).alias("files"), F.sum("chars").alias("chars"))
 
 
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return NE.similar_pairs(table(spark, d, "symbol_vectors")).select("node_id_a", "node_id_b")
+
+
+@query
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return NE.similar_pairs(table(spark, d, "symbol_vectors")).select("node_id_a", "node_id_b", F.round("cosine", 4).alias("cosine"))
+
+
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return PA.parse_files(_contents(spark, d)).where("valid = false").select("path")
