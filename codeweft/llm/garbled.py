@@ -38,6 +38,8 @@ STRICT = frozenset(("utf-8", "euc_jp", "cp932"))
 #: A word must gain at least so much, and so much per pair of characters.
 WORD_DROP, PAIR_DROP = 2.0, 0.0
 
+#: Bytes of other text hardly ever read as kana, so a result that holds some may cost this much more per pair.
+_KANA, KANA_SLACK = re.compile("[\u3041-\u3096\u30a1-\u30fa]{2}"), 1.0
 #: Control characters and private or unassigned ones, which no repaired text holds.
 _NO_TEXT = re.compile("[\x80-\x9f\ue000-\uf8ff\ufffd]")
 _SPLIT = re.compile(r"[ \t\r\n\f\v]+")
@@ -129,7 +131,8 @@ class Repairer:
                 if text == word or (meant != "utf-8" and _NO_TEXT.search(text)):
                     continue
                 after, after_mean = self.cost(text)
-                if before - after >= WORD_DROP and mean - after_mean >= PAIR_DROP:
+                least = -KANA_SLACK if meant != "utf-8" and _KANA.search(text) else PAIR_DROP
+                if before - after >= WORD_DROP and mean - after_mean >= least:
                     out[wrong, meant] = before - after, text
                 if meant == "utf-8":
                     # layers of one encoding: a layer between may look no better than the outermost
