@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters that count as white space around an identifier.
-BLANKS = " \t\r\n\x0b\x0c "
+BLANKS = " \t\r\n\x0b\x0c\xa0"
 
 
 def _col(c: Column | str) -> Column:

@@ -1,0 +1,118 @@
+"""Text expressions: tokens, redaction, keyword ladders, flags, links. All of them run inside the JVM."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def tokens(c: Column | str) -> Column:
+    """Lower-case words of letters and digits, in order."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+
+#: What is redacted, in order: type, pattern, replacement.
+REDACTIONS = (
+    ("aws_access_key", r"(?i)\b(AKIA[0-9A-Z]{16})\b", "[REDACTED:aws_access_key]"),
+    ("github_token", r"(?i)\b(gh[pusr]_[A-Za-z0-9_]{36})\b", "[REDACTED:github_token]"),
+    ("google_api_key", r"\b(AIza[0-9A-Za-z_-]{35})\b", "[REDACTED:google_api_key]"),
+    ("stripe_live_key", r"\b((?:sk|rk)_live_[0-9A-Za-z]{16,})\b", "[REDACTED:stripe_live_key]"),
+    ("jwt", r"(?i)\b(ey[a-zA-Z0-9_-]{10,}\.ey[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,})\b", "[REDACTED:jwt]"),
+    ("generic_api_key", r"""(?i)(api[_-]?key|secret|token|password)(["'\s]*[:=]["'\s]*)([a-zA-Z0-9_\-.]{16,})""", "$1$2[REDACTED:generic_api_key]"),
+    ("private_key", r"(?s)-----BEGIN [A-Z]+ PRIVATE KEY-----.*?-----END [A-Z]+ PRIVATE KEY-----", "[REDACTED:private_key]"),
+    ("bearer", r"(?i)\b(Bearer\s+)([a-zA-Z0-9_\-.]{16,})\b", "$1[REDACTED:bearer]"),
+    ("database_url", r"(?i)((?:postgresql|mysql|mongodb|redis)://[^:]+:)([^@]+)(@.+)", "$1[REDACTED:database_url]$3"),
+)
+
+
+def redact(c: Column | str, extra: tuple[str, ...] = ()) -> Column:
+    """Secrets replaced by their type; ``extra`` patterns become [REDACTED:custom]."""
+    c = F.col(c) if isinstance(c, str) else c
+    c = reduce(lambda x, r: F.regexp_replace(x, r[1], r[2]), REDACTIONS, c)
+    return reduce(lambda x, p: F.regexp_replace(x, p, "[REDACTED:custom]"), extra, c)
+
+
+#: Levels from the highest, with the words that show them.
+LEVELS = (
+    ("Create", ("design", "architect", "architecture", "invent", "compose", "author", "scaffold new", "green-field", "greenfield", "propose", "strategy", "strategize", "plan the", "new subsystem", "from scratch")),
+    ("Evaluate", ("evaluate", "assess", "review", "audit", "critique", "judge", "compare", "trade-off", "tradeoff", "recommend", "decide", "prioritize", "quality", "verify design", "root cause", "root-cause")),
+    ("Analyze", ("analyze", "analyse", "investigate", "diagnose", "debug", "profile", "why", "reverse-engineer", "break down", "correlate", "trace", "distinguish", "differentiate")),
+    ("Understand", ("summarize", "summarise", "explain", "describe", "document", "clarify", "interpret", "outline", "paraphrase", "restate")),
+    ("Remember", ("list", "find", "locate", "look up", "fetch", "collect", "gather", "identify", "name", "retrieve", "read")),
+)
+#: Words of carrying out, which outweigh the two highest levels.
+CARRY_OUT = ("implement", "fix", "add", "write", "build", "refactor", "wire", "integrate", "migrate", "port", "configure", "hook up")
+
+
+def any_word(words: tuple[str, ...]) -> str:
+    """A pattern for any of the words; those with a blank count anywhere, others as whole words."""
+    return "(" + "|".join(w if " " in w else rf"\b{w}\b" for w in words) + ")"
+
+
+def bloom_level(c: Column | str) -> Column:
+    """The highest level whose words a text holds; Apply where none or where carrying out prevails."""
+    t = F.lower(c)
+    out = F.lit("Apply")
+    for name, words in reversed(LEVELS):
+        level = F.when(t.rlike(any_word(CARRY_OUT)), "Apply").otherwise(name) if name in ("Create", "Evaluate") else F.lit(name)
+        out = F.when(t.rlike(any_word(words)), level).otherwise(out)
+    return out
+
+
+#: Signs of unfinished work, by kind.
+STUB_SIGNS = (
+    ("todo", r"(?i)\b(TODO|FIXME|XXX|HACK)\b"),
+    ("not_implemented", r"(?i)(NotImplementedError|not (yet )?implemented|unimplemented!\(|todo!\()"),
+    ("skipped_test", r"(@pytest\.mark\.skip|@unittest\.skip|\b(it|test|describe)\.skip\(|\bt\.Skip\()"),
+    ("commented_assert", r"^\s*(#|//)\s*assert\b"),
+)
+
+
+def stub_sign(line: Column | str) -> Column:
+    """The first kind of sign a line shows, or null."""
+    line = F.col(line) if isinstance(line, str) else line
+    return F.coalesce(*[F.when(line.rlike(p), F.lit(k)) for k, p in STUB_SIGNS])
+
+
+def is_code_line(line: Column | str) -> Column:
+    """Not blank and not a comment."""
+    t = F.trim(line)
+    return (F.length(t) > 0) & ~t.rlike(r"^(#|//|/\*|\*)")
+
+
+def normal_route(c: Column | str) -> Column:
+    """A route with every kind of parameter as '*' and without a slash at the end."""
+    c = F.col(c) if isinstance(c, str) else c
+    t = F.regexp_replace(c, r"(:[A-Za-z_]\w*|\$\{[^}]*\}|\{[^}]*\}|\[[^\]]*\]|<[^>]*>)", "*")
+    return F.regexp_replace(t, r"(?<=.)/+$", "")
+
+
+def slug(c: Column | str) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+
+
+def escape_xml(c: Column | str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def token_estimate(c: Column | str) -> Column:
+    """About four characters a token, at least one."""
+    return F.greatest(F.lit(1), F.floor(F.length(c) / 4).cast("int"))
+
+
+def stable_id(kind: Column, *parts: Column) -> Column:
+    """An id that repeats for the same parts: kind (letters, digits, 16 at most) and ten digits of a hash."""
+    return F.concat_ws("-", F.substring(F.regexp_replace(F.upper(kind), "[^A-Z0-9]+", "-"), 1, 16), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 10))
+
+
+def snippet(text: Column | str, start: Column, end: Column) -> Column:
+    """Numbered lines start..end of a text; empty where start is not positive; one line where end is before start."""
+    lines = F.split(text, "\n")
+    last = F.greatest(start, end)
+    part = F.slice(lines, F.greatest(F.lit(1), start), F.greatest(F.lit(0), last - start + 1))
+    return F.when(start <= 0, "").otherwise(F.concat_ws("\n", F.transform(part, lambda x, i: F.concat((i + start).cast("string"), F.lit(": "), x))))
