@@ -20,6 +20,7 @@ def layers(links: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
     id at that depth (null for seeds). Without ``max_depth`` the whole closure.
     """
     scratch = Scratch(links.sparkSession, "layers")
+    links = scratch.save(links.select("src", "dst", "rank"))
     first = seeds.select("id").where("id is not null").distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast("int").alias("rank"))
     parts = [scratch.save(first)]
     depth = 0
@@ -148,7 +149,7 @@ def call_processes(edges: DataFrame, entries: DataFrame, max_depth: int = 6) ->
     All entries walk at once; the frontier is keyed by entry.
     """
     scratch = Scratch(edges.sparkSession, "processes")
-    calls = edges.where((F.col("kind") == "calls") & (F.col("rank") >= 1)).select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    calls = scratch.save(edges.where((F.col("kind") == "calls") & (F.col("rank") >= 1)).select(F.col("source").alias("src"), F.col("target").alias("dst")))
     parts = [scratch.save(entries.select(F.col("id").alias("entry"), "id").distinct().withColumn("depth", F.lit(0)))]
     for depth in range(1, max_depth + 1):
         seen = parts[0].select("entry", "id")
