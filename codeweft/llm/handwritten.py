@@ -26,8 +26,10 @@ from codeweft.session import Scratch
 
 #: Lines of a corpus rule.
 PHRASE = 6
-#: A file whose grammar is smaller than this share of its tokens is machine-made.
-REUSE = 0.32
+#: A file whose grammar is smaller than this share of its tokens is machine-made: code, code almost
+#: without white space (less than DENSE of its characters), and JSON.
+REUSE, REUSE_DENSE, REUSE_JSON = 0.25, 0.42, 0.315
+DENSE = 0.1
 #: Tokens below which the share says nothing.
 LEAST_TOKENS = 40
 #: Literals of at least PIECE characters without white space are data; a file's data of at least BLOB_CHARS
@@ -63,7 +65,10 @@ THIRD_PARTY = re.compile(
 #: Directories that hold third-party copies.
 THIRD_PARTY_DIRS = re.compile(r"(?:^|/)(?:vendor|_vendor|vendored|third[_-]party|thirdparty|extern|externals?|contrib|node_modules|bower_components|upstream|static/lib)/", re.I)
 
-FEATURES = "path string, repository string, tokens long, grammar long, uses long, blob_chars long, chars long, generated boolean, third_party boolean, phrases array<long>"
+#: Names of files that package managers write.
+LOCK_FILES = re.compile(r"(?:^|/)(?:package-lock|npm-shrinkwrap|shrinkwrap|composer-lock|[^/]*\.lock)\.json$", re.I)
+
+FEATURES = "path string, repository string, tokens long, grammar long, uses long, blob_chars long, chars long, spaces long, generated boolean, third_party boolean, phrases array<long>"
 
 
 def _shape(lexeme: str) -> str:
@@ -132,7 +137,8 @@ def file_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "path": part["path"].to_numpy(), "repository": part["repository"].to_numpy(),
                 "tokens": [len(s) for s in shapes], "grammar": final + 2 * rules, "uses": uses,
                 "blob_chars": blob, "chars": [len(t) for t in part["content"]],
-                "generated": [bool(GENERATED.search(t)) for t in notes],
+                "spaces": [len(t) - len("".join(t.split())) for t in part["content"]],
+                "generated": [bool(GENERATED.search(t) or LOCK_FILES.search(p)) for t, p in zip(notes, part["path"])],
                 "third_party": [bool(THIRD_PARTY.search(t) or THIRD_PARTY_DIRS.search(p)) for t, p in zip(notes, part["path"])],
                 "phrases": [phrases(t) for t in part["content"]],
             })
@@ -144,7 +150,7 @@ def classify_files(files: DataFrame) -> DataFrame:
     ``files`` has path and content, one row per path; rows with a null in either are left out and
     other columns are ignored. Empty and very short files are hand-written unless a notice or their
     directory says otherwise. Whole contents are read. Reasons, the first that holds: ``vendored``,
-    ``generated`` (notice), ``blob`` (incompressible literal), ``repetitive`` (rule reuse: generated,
+    ``generated`` (notice, or a lock file's name), ``blob`` (incompressible literal), ``repetitive`` (rule reuse: generated,
     minified or bulk data).
     """
     scratch = Scratch(files.sparkSession, "handwritten")
@@ -154,11 +160,12 @@ def classify_files(files: DataFrame) -> DataFrame:
     rules = uses.groupBy("rule").agg(F.min("repository").alias("a"), F.max("repository").alias("b")).where("a <> b").select("rule")
     shared = join_on_skewed(uses, rules, "rule").groupBy("path").agg(F.count(F.lit(1)).alias("shared"))
     n, share = F.size("phrases"), F.coalesce("shared", F.lit(0)) / F.greatest(F.size("phrases"), F.lit(1))
+    reuse = F.when(F.lower("path").endswith(".json"), REUSE_JSON).when(F.col("spaces") < F.col("chars") * DENSE, REUSE_DENSE).otherwise(REUSE)
     reason = (
         F.when(F.col("third_party") | ((n >= 3) & (share >= VENDORED)), "vendored")
         .when(F.col("generated"), "generated")
         .when(F.col("blob_chars") >= F.col("chars") * BLOB_SHARE, F.when(F.col("blob_chars") > 0, "blob"))
-        .when((F.col("tokens") >= LEAST_TOKENS) & (F.col("grammar") < F.col("tokens") * REUSE), "repetitive")
+        .when((F.col("tokens") >= LEAST_TOKENS) & (F.col("grammar") < F.col("tokens") * reuse), "repetitive")
     )
     return features.join(shared, "path", "left").select(
         "path", "repository", reason.alias("reason"), "tokens",
