@@ -1,0 +1,131 @@
+import json
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from codeweft.functions import text as X
+from codeweft.operators import dependence as D
+from codeweft.operators import joins as J
+from codeweft.operators import ledger as L
+from codeweft.operators import search as S
+from codeweft.operators import store as ST
+from codeweft.session import Scratch
+from codeweft.sources import extract as E
+from codeweft.streaming import traces as T
+
+
+def one(spark, column, **values):
+    return spark.createDataFrame([tuple(values.values())], list(values)).select(column.alias("x")).first()["x"]
+
+
+def test_redaction(spark):
+    assert one(spark, X.redact("t"), t='password = "abcdefghijklmnop1234"') == 'password = "[REDACTED:generic_api_key]"'
+    assert one(spark, X.redact("t"), t="postgresql://u:secret@h/db") == "postgresql://u:[REDACTED:database_url]@h/db"
+    assert one(spark, X.redact("t", ("zebra",)), t="a zebra") == "a [REDACTED:custom]"
+    assert one(spark, X.redact("t"), t="nothing here") == "nothing here"
+
+
+def test_text_functions(spark):
+    assert one(spark, X.bloom_level("t"), t="Review and implement the cache") == "Apply"
+    assert one(spark, X.bloom_level("t"), t="review the cache") == "Evaluate"
+    assert one(spark, X.bloom_level("t"), t="xyz") == "Apply"
+    assert one(spark, X.normal_route("t"), t="/a/:id/${x}/{y}/") == "/a/*/*/*"
+    assert one(spark, X.snippet("t", F.lit(2), F.lit(3)), t="a\nb\nc\nd") == "2: b\n3: c"
+    assert one(spark, X.snippet("t", F.lit(0), F.lit(3)), t="a") == ""
+    assert one(spark, X.stub_sign("t"), t="x = 1  # TODO later") == "todo"
+    assert one(spark, X.slug("t"), t=" Ab  c! ") == "ab-c" and one(spark, X.escape_xml("t"), t='<a b="&">') == "&lt;a b=&quot;&amp;&quot;&gt;"
+
+
+def test_bm25_needs_every_term(spark):
+    d = spark.createDataFrame([(1, "cache report"), (2, "cache"), (3, "report cache cache"), (4, "else"), (5, "other words"), (6, "more text")], "id int, text string")
+    assert [x["id"] for x in S.bm25(d, "Cache report", 5).collect()] == [1, 3]
+
+
+def test_hash_embedding_halves_repeat(spark):
+    v = one(spark, S.hash_embedding("t"), t="Alpha beta_1 x")
+    assert len(v) == 64 and v[:32] == v[32:] and abs(sum(x * x for x in v) - 1) < 1e-9
+    assert set(one(spark, S.hash_embedding("t"), t="")) == {0.0}
+
+
+def test_chunks_cover_all_words(spark):
+    d = spark.createDataFrame([(1, " ".join(map(str, range(100)))), (2, ""), (3, "a")], "id int, text string")
+    got = S.chunks(d, 40, 10).orderBy("id", "chunk").collect()
+    assert [(x["id"], x["start"], x["words"]) for x in got] == [(1, 0, 40), (1, 30, 40), (1, 60, 40), (3, 0, 1)]
+
+
+def test_joins(spark, rows):
+    spans = spark.createDataFrame([("f", "A", 1, 20), ("f", "A.m", 3, 9), ("f", "B", 30, 0)], "path string, id string, line int, end_line int")
+    points = spark.createDataFrame([("f", 5), ("f", 15), ("f", 25), ("f", 99), ("g", 1)], "path string, line int")
+    assert rows(J.enclosing(points, spans)) == [("f", 15, "A"), ("f", 25, None), ("f", 5, "A.m"), ("f", 99, "B"), ("g", 1, None)]
+    assert rows(J.next_within(points, spans.select("path", "line", "id"))) == [("f", 15, None), ("f", 25, "B"), ("f", 5, None), ("f", 99, None), ("g", 1, None)]
+    areas = spark.createDataFrame([("a",), ("a/b",)], "area string")
+    paths = spark.createDataFrame([("a/b/c",), ("a/bc",), ("x",)], "path string")
+    assert rows(J.longest_prefix(paths, areas)) == [("a/b/c", "a/b"), ("a/bc", "a"), ("x", None)]
+    r = spark.createDataFrame([("r", "any", "/a/:id/"), ("s", "GET", "/a/b")], "id string, verb string, url string")
+    c = spark.createDataFrame([("c", "post", "/a/${x}"), ("d", "get", "/a/b"), ("e", "get", "/a/b/c")], "id string, verb string, url string")
+    assert rows(J.match_routes(r, c)) == [("r", "c"), ("r", "d"), ("s", "d")]
+
+
+def test_store(spark, rows):
+    before = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "2"), ("d", "4")], "path string, content_hash string")
+    after = spark.createDataFrame([("x", "1"), ("y", "2"), ("d", "5")], "path string, content_hash string")
+    assert rows(ST.renames(before, after)) == [("a", "x", "1")]
+    assert rows(ST.reconcile(before, after, ["content_hash"])) == [("a", "deleted"), ("b", "deleted"), ("c", "deleted"), ("d", "modified"), ("x", "added"), ("y", "added")]
+    base = spark.createDataFrame([("k", 1, "old")], "k string, t int, v string")
+    delta = spark.createDataFrame([("k", 1, "new"), ("m", 0, "x")], "k string, t int, v string")
+    assert rows(ST.upsert(base, delta, ["k"], "t")) == [("k", 1, "new"), ("m", 0, "x")]
+    dup = spark.createDataFrame([("a", 1, "f", 1), ("a", 7, "f", 2), ("a", 7, "f", 3)], "id string, line int, kind string, ordinal int")
+    assert [x["new_id"] for x in ST.unique_ids(dup).orderBy("ordinal").collect()] == ["a", "a#L7:f", "a#L7:f:2"]
+    m, p = ST.payloads(spark.createDataFrame([("a", 1), ("b", 1), ("c", None)], "path string, v int"), "path", ["v"])
+    assert m.count() == 3 and p.count() == 2
+    cache = spark.createDataFrame([(f"k{i}", 10, i) for i in range(8)], "key string, size int, created_at int")
+    assert ST.evict_oldest(cache, 100).count() == 8 and ST.evict_oldest(cache, 50).count() == 6
+
+
+def test_ledger(spark, rows):
+    t0 = datetime(2025, 1, 1)
+    e = spark.createDataFrame([(i, "u", t0 + timedelta(seconds=s)) for i, s in enumerate((0, 1, 2, 10, 11, 30))], "event_id int, by string, at timestamp")
+    assert [x["event_id"] for x in L.kept_by_debounce(e, "by", "at", 5).orderBy("event_id").collect()] == [0, 3, 5]
+    r = spark.createDataFrame([(None, "m", 1.0, 2), ("", "m", 2.0, 3), ("t", "n", 4.0, 5)], "task string, run string, cost double, tokens int")
+    assert ("task", "(unattributed)", 2, 3.0, 5) in [tuple(x) for x in L.rollup(r, ["task", "run"], "cost", "tokens").collect()]
+    v = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")], "k string, c string")
+    assert rows(L.majority(v, "k", "c")) == [("a", "x", 3), ("b", None, 2)]
+
+
+def test_extraction(spark, rows):
+    py = "import os\nfrom .x import y\n__all__ = ['f']\ndef f():\n    g(1)\nclass C:\n    def m(self): self.k()\n"
+    f = spark.createDataFrame([("p/a.py", None, py), ("b.ts", None, "export class A {}\nimport { x } from './y';\nconst h = (a) => a;"), ("c.go", "go", "package a\nimport \"os\"\nfunc (r *R) Do() {}\ntype S struct {}"), ("bad.py", None, "def ("), ("n.py", None, None)], "path string, language string, content string")
+    got = {(x["path"], x["what"], x["name"], x["owner"], x["exported"]) for x in E.extract(f).collect()}
+    assert {("p/a.py", "function", "f", "", True), ("p/a.py", "class", "C", "", False), ("p/a.py", "method", "m", "C", False), ("p/a.py", "call", "g", "f", False), ("p/a.py", "call", "k", "C.m", False), ("p/a.py", "import", "p.x.y", "", False), ("b.ts", "class", "A", "", True), ("b.ts", "import", "./y", "", False), ("b.ts", "function", "h", "", False), ("c.go", "function", "Do", "", True), ("c.go", "struct", "S", "", True), ("c.go", "import", "os", "", False)} <= got
+    assert not any(p in ("bad.py", "n.py") for p, *_ in got)
+
+
+def test_reports(spark, rows):
+    diff = "--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,3 @@\n a\n+b\n-c\n+d\n--- a/y\n+++ /dev/null\n@@ -1 +0,0 @@\n-z\n"
+    added = E.added_lines(spark.createDataFrame([(1, diff), (2, None)], "id int, diff string"))
+    assert rows(added.select("path", "line", "text")) == [("x.py", 2, "b"), ("x.py", 3, "d")]
+    reports = ["SF:x.py\nDA:2,1\nDA:3,0\nend_of_record", json.dumps({"files": {"z.py": {"executed_lines": [1], "missing_lines": [2]}}}), '<c><class filename="w"><line number="4" hits="2"/></class></c>', "{bad", None]
+    cov = E.coverage(spark.createDataFrame([(i, r) for i, r in enumerate(reports)], "id int, report string"))
+    assert rows(cov) == [("w", 4, True), ("x.py", 2, True), ("x.py", 3, False), ("z.py", 1, True), ("z.py", 2, False)]
+    assert rows(E.changed_coverage(added, cov)) == [("x.py", 2, 2, 1)]
+    s = E.sections(spark.createDataFrame([(1, "# A\ntext\n## B\n### C\n## D\n# E")], "id int, text string"))
+    assert rows(s.select("line", "level", "title", "parent_line")) == [(1, 1, "A", None), (3, 2, "B", 1), (4, 3, "C", 3), (5, 2, "D", 1), (6, 1, "E", None)]
+
+
+def test_dependence(spark):
+    code = "def f(a):\n    x = input()\n    if a:\n        x = 1\n    while a:\n        a = a - 1\n    eval(x)\n    return x\n"
+    got = {(x["what"], x["source_line"], x["target_line"], x["label"]) for x in D.dependence(spark.createDataFrame([("a.py", None, code)], "path string, language string, content string")).collect()}
+    assert {("flow", 3, 4, "true"), ("flow", 3, 5, "false"), ("flow", 6, 5, "next"), ("control", 3, 4, "T"), ("def_use", 2, 7, "x"), ("def_use", 4, 7, "x"), ("def_use", 6, 6, "a"), ("taint", 2, 7, "code")} <= got
+    assert ("def_use", 1, 7, "x") not in got
+
+
+def test_stream_equals_batch(spark, tmp_path, rows):
+    t0 = datetime(2025, 1, 1)
+    for k in range(3):
+        spark.createDataFrame([(i % 4, t0 + timedelta(hours=i), i) for i in range(k * 10, k * 10 + 10)], "u int, ts timestamp, v int").coalesce(1).write.parquet(str(tmp_path / f"in/p{k}"))
+    batch = spark.read.parquet(*[str(tmp_path / f"in/p{k}") for k in range(3)])
+    stream = spark.readStream.schema(batch.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    last = T.upsert_stream(stream, ["u"], "ts", Scratch(spark, "t"), "last")
+    assert rows(last) == rows(L.latest(batch, ["u"], ["ts"]).select(*last.columns))
+    total = T.run_to_end(stream.groupBy("u").agg(F.sum("v").alias("s")), "complete", Scratch(spark, "t"), "sum")
+    assert rows(total) == rows(batch.groupBy("u").agg(F.sum("v").alias("s")))
