@@ -27,8 +27,8 @@ DIM = 64
 NEIGHBOURS, LEAST = 5, 0.82
 #: Entries a cell holds on average; sets K from the number of vectors. K is at most MOST_CENTROIDS.
 PER_CELL, MOST_CENTROIDS = 12, 512
-#: A query walks cells until they hold so many entries.
-CANDIDATES = 400
+#: A query walks cells until they hold so many entries, or as many as CELLS cells of mean size, if that is more.
+CANDIDATES, CELLS = 400, 16
 #: Rows per model on which the codebooks are trained, at most (in expectation).
 SAMPLE, ROUNDS = 20_000, 10
 #: Entries and queries of a list that one task compares at a time.
@@ -146,13 +146,14 @@ def nearest(entries: DataFrame, neighbours: int = NEIGHBOURS, least: float = LEA
     for r in indexed.groupBy("model", "c1", "c2").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r["model"]][r["c1"], r["c2"]] = r["n"]
     cells = spark.sparkContext.broadcast(counts)
+    wanted = {m: max(candidates, CELLS * per_model[m] // max(1, c.size)) for m, c in counts.items()}
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for model, part in pdf.groupby("model"):
                 x, (first, second) = _matrix(part["vec"]), shared.value[model]
                 d1, d2 = distances(x[:, : DIM // 2], first), distances(x[:, DIM // 2 :], second)
-                yield pd.DataFrame({"id": part["id"], "model": model, "vec": part["vec"], "lists": [sorted(walk(a, b, cells.value[model], candidates)) for a, b in zip(d1, d2)]})
+                yield pd.DataFrame({"id": part["id"], "model": model, "vec": part["vec"], "lists": [sorted(walk(a, b, cells.value[model], wanted[model])) for a, b in zip(d1, d2)]})
 
     routed = scratch.save(indexed.select("id", "model", "vec").mapInPandas(route, "id string, model string, vec binary, lists array<int>"))
     visits = routed.select("id", "model", "vec", F.explode("lists").alias("c1"))

@@ -171,6 +171,16 @@ def test_leaks(spark):
     assert LE.find_leaks(d.limit(0), e).count() == 0 and LE.find_leaks(d, e.limit(0)).count() == 0
 
 
+def test_leaks_of_items_that_are_variants_of_each_other(spark):
+    r = random.Random(8)
+    vocabulary = ["the", "every", "node", "checks", "some", "edge", "before", "after", "stale", "graph", "merges", "without", "report", "under"]
+    frame = [r.choice(vocabulary) if r.random() < 0.8 else None for _ in range(50)]
+    items = [" ".join(w or f"Name{i}x{k}" for k, w in enumerate(frame)) for i in range(9)]
+    d = spark.createDataFrame([(i, f"Some words before. {t} And after.") for i, t in enumerate(items)], "doc_id long, text string")
+    e = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+    assert {(i, i) for i in range(9)} <= {(x["doc_id"], x["item_id"]) for x in LE.find_leaks(d, e).where("word_share > 0.95").collect()}
+
+
 # -- garbled text
 def test_garbled(spark):
     clean = ["Die größere Änderung prüft über müde Füße schließlich möglichst früh.", "L’écart créé à côté du modèle déjà validé a été très sévère.", "Новый снимок не совпадает со старым, проверка нашла ошибки.", "計画に含まれていないので、差し戻しました。", "La función está allí según el último día.", "A ATENÇÃO NÃO É VÁLIDA ATÉ A REVISÃO", "plain ascii", "├── a\n│   └── b", "a ≤ b · c ½ “q”"]
