@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeweft.operators import dependence as D
+from codeweft.operators import export as X
 from codeweft.operators.snapshots import current_files, newest_generation
+from codeweft.operators.store import newest_generations
 from codeweft.queries.core_problems import table
+from codeweft.queries.graph import _SQL, graph
 from codeweft.session import Scratch
 from codeweft.sources import extract as E
+from codeweft.sources import reports as R
 from codeweft.streaming import traces as T
 
 QUERIES: dict = {}
@@ -82,3 +86,33 @@ def stream_latest(spark, d):
     """Incremental upserts give the same table as the batch."""
     s = _stream(spark, d).select("user_id", "ts", "event_id")
     return T.upsert_stream(s, ["user_id"], "ts", Scratch(spark, "stream"), "latest")
+
+
+@query()
+def framework_lines(spark, d):
+    return R.framework_lines(contents(spark, d))
+
+
+@query(_SQL + "SELECT t.tier, sum(CASE t.tier WHEN 'stub' THEN strlen(json_object('id', id)) ELSE strlen(json_object('id', id, 'kind', kind)) END)::BIGINT AS bytes, count(*) AS rows FROM n, (SELECT unnest(['stub', 'compact']) AS tier) t GROUP BY t.tier")
+def export_tier_sizes(spark, d):
+    return X.json_tiers(graph(spark, d)[0]).where(F.col("tier").isin("stub", "compact"))
+
+
+@query(_SQL + "SELECT 'node' AS part, count(*) AS rows FROM n UNION ALL SELECT 'edge', count(*) FROM ee")
+def graphml_elements(spark, d):
+    return X.graphml_rows(*graph(spark, d)).groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(_SQL + "SELECT area, trim(regexp_replace(lower(area), '[^a-z0-9]+', '-', 'g'), '-') AS slug, '# ' || area || chr(10) || chr(10) || string_agg('- ' || path, chr(10) ORDER BY path) AS page FROM (SELECT DISTINCT area, path FROM n WHERE kind = 'file' AND area <> '') GROUP BY area")
+def area_pages(spark, d):
+    return X.markdown_pages(graph(spark, d)[0])
+
+
+@query()
+def semantic_changes(spark, d):
+    """Symbols that differ between the two newest committed generations."""
+    f, g = table(spark, d, "files"), table(spark, d, "generations")
+    ids = [r["id"] for r in newest_generations(g, 2).collect()]
+    kinds = ("function", "class", "method", "struct", "interface")
+    side = lambda i: E.extract(current_files(f, i, ["content", "language"])).where(F.col("what").isin(*kinds))
+    return X.semantic_changes(side(ids[-1]), side(ids[0]))
