@@ -116,3 +116,56 @@ def snippet(text: Column | str, start: Column, end: Column) -> Column:
     last = F.greatest(start, end)
     part = F.slice(lines, F.greatest(F.lit(1), start), F.greatest(F.lit(0), last - start + 1))
     return F.when(start <= 0, "").otherwise(F.concat_ws("\n", F.transform(part, lambda x, i: F.concat((i + start).cast("string"), F.lit(": "), x))))
+
+
+def tail(text: Column | str, n: int) -> Column:
+    """The last n characters behind a mark of what was cut."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(F.length(text) > n, F.concat(F.lit("...\n"), F.right(text, F.lit(n)))).otherwise(text)
+
+
+def head(text: Column | str, n: int) -> Column:
+    """The first n characters before a mark of what was cut."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("\n..."))).otherwise(text)
+
+
+#: Weights of the terms a text should, may and must not hold.
+TERM_WEIGHTS = {"required": 0.6, "expected": 0.3, "forbidden": 0.2}
+
+
+def term_coverage(text: Column | str, required: tuple[str, ...] = (), expected: tuple[str, ...] = (), forbidden: tuple[str, ...] = ()) -> Column:
+    """Weighted share of terms held (for forbidden ones: not held), 0.5 where no terms are given."""
+    low = F.lower(text)
+    parts = []
+    for terms, kind in ((required, "required"), (expected, "expected"), (forbidden, "forbidden")):
+        if terms:
+            held = sum(((low.contains(t.lower()) if kind != "forbidden" else ~low.contains(t.lower())).cast("double") for t in terms), F.lit(0.0)) / len(terms)
+            parts.append((held, TERM_WEIGHTS[kind]))
+    if not parts:
+        return F.lit(0.5)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), sum((h * w for h, w in parts), F.lit(0.0)) / sum(w for _, w in parts)))
+
+
+#: Phrases of claims, by kind in order of weight, and of hedging.
+CLAIMS = (
+    ("tests_pass", r"(?i)\b(all )?tests? (now )?pass(es|ed)?\b"),
+    ("fixed", r"(?i)\b(fixed|resolved|no longer (fails|holds|crashes))\b"),
+    ("implemented", r"(?i)\b(implemented|added support|is now supported)\b"),
+    ("verified", r"(?i)\b(verified|confirmed|validated)\b"),
+    ("removed", r"(?i)\b(removed|deleted|dropped)\b"),
+    ("refactored", r"(?i)\b(refactored|renamed|moved)\b"),
+    ("done", r"(?i)\b(done with|completed|finished)\b"),
+)
+HEDGES = r"(?i)\b(should|might|may|could|probably|not yet|todo|plan(s|ned)? to)\b"
+
+
+def sentences(text: Column | str) -> Column:
+    """Sentences and lines of a text, without blanks around; empty ones left out."""
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])[ \t]+|[\r\n]+"), F.trim), lambda s: s != "")
+
+
+def claim_kind(sentence: Column | str) -> Column:
+    """The first kind of claim a sentence makes; null for none or a hedged one."""
+    s = F.col(sentence) if isinstance(sentence, str) else sentence
+    return F.when(~s.rlike(HEDGES), F.coalesce(*[F.when(s.rlike(p), F.lit(k)) for k, p in CLAIMS]))

@@ -191,3 +191,19 @@ def document_code_refs(spark, d):
     """References of documents to code files."""
     refs = F.explode(F.regexp_extract_all("text", F.lit(r"([a-z_]+/[a-z_]+\.(?:py|js|ts|go))"), F.lit(1)))
     return documents(spark, d).select(F.col("id").alias("doc_id"), refs.alias("ref")).groupBy("doc_id", "ref").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "SELECT kind, count(*) AS claims, count(DISTINCT id) AS documents FROM (SELECT id, CASE WHEN regexp_matches(s, '" + X.HEDGES + "') THEN NULL "
+    + " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{k}'" for k, p in X.CLAIMS)
+    + " END AS kind FROM (SELECT doc_id AS id, unnest(string_split_regex(regexp_replace(text, '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), '[\\r\\n]+')) AS s FROM documents WHERE text IS NOT NULL) WHERE trim(s) <> '') WHERE kind IS NOT NULL GROUP BY kind"
+)
+def claim_counts(spark, d):
+    s = documents(spark, d).select("id", F.explode(X.sentences("text")).alias("s"))
+    k = s.select("id", X.claim_kind("s").alias("kind")).where("kind is not null")
+    return k.groupBy("kind").agg(F.count(F.lit(1)).alias("claims"), F.countDistinct("id").alias("documents"))
+
+
+@query("SELECT doc_id AS id, round(((contains(lower(text), 'gate')::INT + contains(lower(text), 'cache')::INT) / 2.0 * 0.6 + contains(lower(text), 'ledger')::INT * 0.3 + (NOT contains(lower(text), 'todo'))::INT * 0.2) / 1.1, 6) AS score FROM documents WHERE text IS NOT NULL")
+def term_coverage(spark, d):
+    return documents(spark, d).select("id", F.round(X.term_coverage("text", ("gate", "cache"), ("ledger",), ("TODO",)), 6).alias("score"))
