@@ -129,3 +129,12 @@ def test_stream_equals_batch(spark, tmp_path, rows):
     assert rows(last) == rows(L.latest(batch, ["u"], ["ts"]).select(*last.columns))
     total = T.run_to_end(stream.groupBy("u").agg(F.sum("v").alias("s")), "complete", Scratch(spark, "t"), "sum")
     assert rows(total) == rows(batch.groupBy("u").agg(F.sum("v").alias("s")))
+
+
+def test_claims_and_coverage(spark):
+    assert one(spark, X.claim_kind("t"), t="All tests pass now.") == "tests_pass"
+    assert one(spark, X.claim_kind("t"), t="This should be fixed.") is None
+    assert one(spark, X.sentences("t"), t="One. Two!\n\nThree") == ["One.", "Two!", "Three"]
+    assert one(spark, X.tail("t", 3), t="abcdef") == "...\ndef" and one(spark, X.head("t", 9), t="abc") == "abc"
+    assert abs(one(spark, X.term_coverage("t", ("a", "zz"), (), ("q",)), t="A b") - (0.5 * 0.6 + 0.2) / 0.8) < 1e-9
+    assert one(spark, X.term_coverage("t"), t="x") == 0.5
