@@ -57,7 +57,8 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    return S.key_profile(table(spark, d, "edges"))
+    q = S.key_profile(table(spark, d, "edges"))
+    return q.select("target", "kind", "n", "share", "p", F.unix_micros("seen_at").alias("seen_at_us"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_hierarchy, p3_descendants, p3_subtrees, p5_found, p5_intervals, p6_found, p6_counts, p6_quantiles)}
@@ -134,5 +135,5 @@ ORACLES = {
       SELECT r.target, r.kind, r.seen_at, h.n, row_number() OVER (PARTITION BY r.target, r.kind ORDER BY r.seen_at) rk
       FROM rec r JOIN heavy h ON h.target = r.target AND h.kind IS NOT DISTINCT FROM r.kind),
       ps AS (SELECT unnest([0.5::DOUBLE, 0.9::DOUBLE, 0.99::DOUBLE]) p)
-    SELECT target, kind, n, round(n / (SELECT count(*) FROM rec), 6) AS share, p, seen_at FROM ranked, ps WHERE rk = greatest(1, ceil(p * n))""",
+    SELECT target, kind, n, round(n / (SELECT count(*) FROM rec), 6) AS share, p, epoch_us(seen_at) AS seen_at_us FROM ranked, ps WHERE rk = greatest(1, ceil(p * n))""",
 }
