@@ -307,7 +307,7 @@ def dead_symbols(spark, d):
 )
 def call_processes(spark, d):
     n, e = graph(spark, d)
-    return T.call_processes(e, n.where(F.col("name").like("export%")))
+    return T.call_processes(e, n.where(~G.is_file_node()))
 
 
 def _pagerank(rounds: int) -> str:
