@@ -29,6 +29,8 @@ NEIGHBOURS, LEAST = 5, 0.82
 PER_CELL, MOST_CENTROIDS = 12, 512
 #: A query walks cells until they hold so many entries, or as many as CELLS cells of mean size, if that is more.
 CANDIDATES, CELLS = 400, 16
+#: Without the floor LEAST, neighbours are far and lie in any cell: a query of n vectors walks to FAR[0] * n ** FAR[1] entries at least.
+FAR = 6, 0.6
 #: Rows per model on which the codebooks are trained, at most (in expectation).
 SAMPLE, ROUNDS = 20_000, 10
 #: Entries and queries of a list that one task compares at a time.
@@ -146,7 +148,7 @@ def nearest(entries: DataFrame, neighbours: int = NEIGHBOURS, least: float = LEA
     for r in indexed.groupBy("model", "c1", "c2").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r["model"]][r["c1"], r["c2"]] = r["n"]
     cells = spark.sparkContext.broadcast(counts)
-    wanted = {m: max(candidates, CELLS * per_model[m] // max(1, c.size)) for m, c in counts.items()}
+    wanted = {m: max(candidates, CELLS * per_model[m] // max(1, c.size), math.ceil(FAR[0] * per_model[m] ** FAR[1]) if least < LEAST else 0) for m, c in counts.items()}
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -185,9 +187,13 @@ def nearest(entries: DataFrame, neighbours: int = NEIGHBOURS, least: float = LEA
 
 def _best(s: np.ndarray, k: int, least: float) -> Iterator[tuple[int, int]]:
     """The k + 1 best columns of every row, as far as they reach ``least``; one may be the row itself."""
-    rows = np.flatnonzero((s >= least).any(1))
-    for r in rows:
-        cols = np.flatnonzero(s[r] >= least)
+    if s.shape[1] > k + 1:
+        # all that tie with the last one stay, so that the smaller ids can be taken
+        floor = np.maximum(np.partition(s, -(k + 1), axis=1)[:, -(k + 1)], least)
+    else:
+        floor = np.full(len(s), least)
+    for r in np.flatnonzero(s.max(1) >= least):
+        cols = np.flatnonzero(s[r] >= floor[r])
         if len(cols) > k + 1:
             cols = cols[np.lexsort((cols, -s[r, cols]))[: k + 1]]
         for c in cols:

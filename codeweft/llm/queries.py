@@ -47,7 +47,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return NE.similar_pairs(table(spark, d, "symbol_vectors")).select("node_id_a", "node_id_b", F.round("cosine", 4).alias("cosine"))
+    """The five most similar of every vector, however far they are."""
+    return NE.similar_pairs(table(spark, d, "symbol_vectors"), least=float("-inf")).select("node_id_a", "node_id_b", F.round("cosine", 4).alias("cosine"))
 
 
 @query
