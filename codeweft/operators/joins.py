@@ -51,17 +51,25 @@ def longest_prefix(paths: DataFrame, areas: DataFrame) -> DataFrame:
 def match_routes(routes: DataFrame, calls: DataFrame) -> DataFrame:
     """Calls that a route serves: route_id, call_id. Segments are equal or '*'; verbs are equal or ANY.
 
-    ``routes`` and ``calls`` have id, verb, url. The number of segments is the equality key;
-    what remains is checked pair by pair, so give distinct routes and distinct calls.
+    ``routes`` and ``calls`` have id, verb, url. The verb counts as a first segment. A shape tells
+    where a side is open; for each two shapes of one length that occur, what is open in neither is
+    the key, so that the join is an equality and every pair that meets is a result.
     """
 
     def prepared(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("id").alias(f"{name}_id"), F.upper("verb").alias(f"{name}_verb"), F.filter(F.split(normal_route("url"), "/"), lambda x: x != "").alias(name))
+        verb = F.when(F.upper("verb") == "ANY", "*").otherwise(F.concat(F.lit("="), F.upper("verb")))
+        segments = F.filter(F.split(normal_route("url"), "/"), lambda x: x != "")
+        parts = df.select(F.col("id").alias(f"{name}_id"), F.concat(F.array(F.coalesce(verb, F.lit(name))), segments).alias("parts")).where("parts is not null")
+        return parts.withColumn(f"{name}_shape", F.array_join(F.transform("parts", lambda x: F.when(x == "*", "*").otherwise(".")), ""))
 
     r, c = prepared(routes, "route"), prepared(calls, "call")
-    same = F.forall(F.zip_with("route", "call", lambda a, b: (a == b) | (a == "*") | (b == "*")), lambda x: x)
-    verbs = (F.col("route_verb") == F.col("call_verb")) | (F.col("route_verb") == "ANY") | (F.col("call_verb") == "ANY")
-    return r.join(c, (F.size("route") == F.size("call")) & verbs & same).select("route_id", "call_id")
+    shapes = r.select("route_shape").distinct().join(c.select("call_shape").distinct(), F.length("route_shape") == F.length("call_shape"))
+
+    def keyed(df: DataFrame, name: str, other: str) -> DataFrame:
+        key = F.transform("parts", lambda x, i: F.when(F.substring(F.col(f"{other}_shape"), i + 1, F.lit(1)) == "*", "*").otherwise(x))
+        return df.join(shapes, f"{name}_shape").select(f"{name}_id", "route_shape", "call_shape", key.alias("key"))
+
+    return keyed(r, "route", "call").join(keyed(c, "call", "route"), ["route_shape", "call_shape", "key"]).select("route_id", "call_id")
 
 
 def unique_name_resolution(calls: DataFrame, symbols: DataFrame) -> DataFrame:

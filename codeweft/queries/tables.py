@@ -70,9 +70,9 @@ def longest_prefix_area(spark, d):
 )
 def route_match(spark, d):
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
-    routes = li.select(F.concat(F.lit("/orders/"), (F.col("l_partkey") % 50).cast("string"), F.lit("/{status}/")).alias("url")).distinct().select(F.concat_ws(" ", F.lit("GET"), "url").alias("id"), F.lit("GET").alias("verb"), "url")
+    routes = li.select(F.concat(F.lit("/orders/"), F.col("l_partkey").cast("string"), F.lit("/{status}/")).alias("url")).distinct().select(F.concat_ws(" ", F.lit("GET"), "url").alias("id"), F.lit("GET").alias("verb"), "url")
     verb = F.when(F.col("o_orderkey") % 2 == 0, "GET").otherwise("POST")
-    calls = o.select(verb.alias("verb"), F.concat(F.lit("/orders/"), (F.col("o_custkey") % 50).cast("string"), F.lit("/"), F.col("o_orderstatus")).alias("url")).distinct().select(F.concat_ws(" ", "verb", "url").alias("id"), "verb", "url")
+    calls = o.select(verb.alias("verb"), F.concat(F.lit("/orders/"), F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderstatus")).alias("url")).distinct().select(F.concat_ws(" ", "verb", "url").alias("id"), "verb", "url")
     return J.match_routes(routes, calls)
 
 
