@@ -260,7 +260,7 @@ def affected_tests(spark, d):
     + "SELECT id, depth FROM b"
 )
 def path_lengths(spark, d):
-    return T.path_lengths(graph(spark, d)[1], seeds(spark), 6)
+    return T.path_lengths(graph(spark, d)[1], seeds(spark))
 
 
 _ROOTS = f"SELECT id FROM n WHERE {_IS_FILE} AND id LIKE '{ROOTS}'"
