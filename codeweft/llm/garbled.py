@@ -32,8 +32,9 @@ MEANT_FOR = {w: ("utf-8",) if w in CASED else ("utf-8", "euc_jp", "cp932") if w
 LAYERS = 4
 #: A document is garbled when its words' cost falls by so much in all under one pair of encodings.
 LEAST_DROP = 6.0
-#: Under an encoding that accepts any bytes, the drop must be so great and two different words must take part.
-LEAST_DROP_LAX = 12.0
+#: Under an encoding that accepts any bytes, the drop must be so great and two different words must take part, or one whose
+#: repaired pairs of characters beyond ASCII each occur at least COMMON times in the corpus.
+LEAST_DROP_LAX, COMMON = 12.0, 20
 STRICT = frozenset(("utf-8", "euc_jp", "cp932"))
 #: A word must gain at least so much, and so much per pair of characters.
 WORD_DROP, PAIR_DROP = 2.0, 0.0
@@ -97,6 +98,7 @@ class Repairer:
         total = sum(pairs.values()) + 1
         self.cost_of = {p: -math.log((n + 0.05) / total) for p, n in pairs.items()}
         self.unseen = -math.log(0.05 / total)
+        self.common = {p for p, n in pairs.items() if n >= COMMON}
         self.memo: dict[str, dict] = {}
 
     def cost(self, word: str) -> tuple[float, float]:
@@ -113,6 +115,11 @@ class Repairer:
                 out += MEMBER.get(c, 8.0 if c < "\xa0" or c == "\ufffd" else 0.0)
         return out, out / n if n else 0.0
 
+    def usual(self, word: str) -> bool:
+        """Whether every pair of characters with one beyond ASCII is common in the corpus."""
+        w = " " + "".join(map(char_class, word)) + " "
+        return all(w[i : i + 2] in self.common for i in range(len(w) - 1) if w[i] > "\x7f" or w[i + 1] > "\x7f")
+
     def trips(self, word: str) -> dict[tuple[str, str], tuple[float, str]]:
         """Per pair of encodings that lowers the word's cost: the drop and the text of the round trip."""
         known = self.memo.get(word)
@@ -159,12 +166,19 @@ class Repairer:
             words = [w for w in _SPLIT.split(text) if not w.isascii()]
             gains: dict[tuple[str, str], float] = {}
             cores: dict[tuple[str, str], set[str]] = {}
+            clear: set[tuple[str, str]] = set()
             for w in words:
                 if meaningful(w):
-                    for pair, (drop, _) in self.trips(w).items():
+                    for pair, (drop, repaired) in self.trips(w).items():
                         gains[pair] = gains.get(pair, 0.0) + drop
                         cores.setdefault(pair, set()).add("".join(filter(str.isalpha, w)))
-            gains = {p: g for p, g in gains.items() if g >= LEAST_DROP and (p[1] in STRICT or (g >= LEAST_DROP_LAX and len(cores[p]) > 1))}
+                        if drop >= LEAST_DROP_LAX and not _NO_TEXT.search(w) and self.usual(repaired):
+                            clear.add(pair)
+                elif len(w) == 1 and w.isalpha():
+                    # a word of one character is evidence beside others, never alone
+                    for pair in self.trips(w):
+                        cores.setdefault(pair, set()).add(w)
+            gains = {p: g for p, g in gains.items() if g >= LEAST_DROP and (p[1] in STRICT or (g >= LEAST_DROP_LAX and (len(cores[p]) > 1 or p in clear)))}
             if not gains:
                 break
             pair, gain = max(gains.items(), key=lambda x: (x[1], x[0]))
