@@ -62,7 +62,7 @@ def parse_files(files: DataFrame) -> DataFrame:
     one in any letter case, else that of the extension. Rows without content are left out; a
     language without a parser gives nulls. An empty file is valid unless it is JSON. The whole
     text is parsed; after an error the parser resumes at the next statement, so that all errors
-    are kept (at most some 200 of one text). No shuffle takes place.
+    are kept, however many. No shuffle takes place.
     """
     rows = files.where("content is not null").select("path", language_of("language", "path").alias("language"), "content")
     return rows.mapInPandas(_check, RESULT)

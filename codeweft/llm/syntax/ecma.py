@@ -249,8 +249,6 @@ class Ecma(Cursor):
             except Bad as e:
                 self.note(e)
                 self.panic(max(start, min(e.at, self.i)))
-                if len(self.errors) > 200:
-                    return
 
     def uncovered(self, upto: int) -> None:
         if len(self.covers) > upto:

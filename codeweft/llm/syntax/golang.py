@@ -122,15 +122,17 @@ class Go(Cursor):
                 self.note(e)
                 self.i = max(start + 1, self.i)
                 self.panic()
-                if len(self.errors) > 200:
-                    return
 
     def panic(self) -> None:
         """Skip to the next line that starts a declaration."""
         self.depth = self.level = 0
-        while self.k[self.i] != "END" and not (self.k[self.i] in ("func", "type", "var", "const", "import") and (self.i == 0 or self.o[self.i] == 0 or self.text[self.o[self.i] - 1] == "\n")):
+        while self.k[self.i] != "END" and not self.starts_declaration(self.i):
             self.i += 1
 
+    def starts_declaration(self, i: int) -> bool:
+        """Whether a line begins at a token that starts a declaration."""
+        return self.k[i] in ("func", "type", "var", "const", "import") and (self.o[i] == 0 or self.text[self.o[i] - 1] == "\n")
+
     def end(self) -> None:
         if self.k[self.i] == "END":
             return
@@ -187,13 +189,14 @@ class Go(Cursor):
     def type_spec(self, first: bool) -> None:
         self.need("ID")
         if self.k[self.i] == "[":
-            i, depth = self.i, self.depth
+            i, depth, noted = self.i, self.depth, len(self.errors)
             try:
                 self.type_parameters()
                 if self.k[self.i] in (";", ")"):
                     self.fail()
             except Bad:
                 self.i, self.depth = i, depth
+                del self.errors[noted:]
         self.eat("=")
         self.type()
 
@@ -281,7 +284,7 @@ class Go(Cursor):
             if self.k[self.i] == "." and self.k[self.i + 1] == "ID":
                 self.i += 2
             if self.k[self.i] == "[" and self.k[self.i + 1] != "]":
-                i, depth = self.i, self.depth
+                i, depth, noted = self.i, self.depth, len(self.errors)
                 try:
                     self.i += 1
                     self.type()
@@ -292,6 +295,7 @@ class Go(Cursor):
                     self.need("]")
                 except Bad:
                     self.i, self.depth = i, depth
+                    del self.errors[noted:]
         elif k == "*":
             self.i += 1
             self.type()
@@ -355,12 +359,13 @@ class Go(Cursor):
         elif self.k[self.i + 1] in (";", "}", "STR", "."):
             self.type()
         elif self.k[self.i] == "ID" and self.k[self.i + 1] == "[":
-            i, depth = self.i, self.depth
+            i, depth, noted = self.i, self.depth, len(self.errors)
             try:
                 self.i += 1
                 self.type()
             except Bad:
                 self.i, self.depth = i, depth
+                del self.errors[noted:]
                 self.type()
         else:
             self.names()
@@ -383,9 +388,53 @@ class Go(Cursor):
             if k == ";":
                 self.i += 1
                 continue
-            self.statement()
-            if self.k[self.i] not in ("}", "case", "default"):
-                self.need(";")
+            start, depth, level = self.i, self.depth, self.level
+            try:
+                self.statement()
+                if self.k[self.i] not in ("}", "case", "default"):
+                    self.need(";")
+            except Bad as e:
+                bad: Bad | None = e
+                while bad:
+                    if not self.closes(start):
+                        raise bad
+                    self.note(bad)
+                    self.depth, self.level = depth, level
+                    try:
+                        bad = self.resume(start)
+                    except Bad as later:
+                        bad = later
+
+    def closes(self, start: int) -> bool:
+        """Whether the statement from a token on ends, with its braces closed, before the next declaration."""
+        i, level = start, 0
+        while self.k[i] != "END" and not self.starts_declaration(i):
+            k = self.k[i]
+            level += (k == "{") - (k == "}")
+            if level < 0 or (k == ";" and not level and i >= self.i):
+                return True
+            i += 1
+        return False
+
+    def resume(self, start: int) -> None:
+        """Skip to the end of the statement that began at a token; blocks of a control clause are parsed."""
+        first = self.k[start]
+        level = self.k[start : self.i].count("{") - self.k[start : self.i].count("}")
+        while True:
+            k = self.k[self.i]
+            if k == "END" or (not level and k in ("}", ";")):
+                return
+            if not level and k == "{" and first in ("if", "for"):
+                self.block()
+            elif not level and k == "{" and first in ("switch", "select"):
+                self.i += 1
+                self.clauses(self.case_list if first == "switch" else self.simple)
+            elif not level and k == "else" and self.k[self.i + 1] == "if":
+                self.i += 1
+                self.if_()
+            else:
+                level += (k == "{") - (k == "}")
+                self.i += 1
 
     def statement(self) -> None:
         k = self.k[self.i]
@@ -524,26 +573,35 @@ class Go(Cursor):
                 return
 
     def type_or_expression(self) -> None:
-        i, depth = self.i, self.depth
+        i, depth, noted = self.i, self.depth, len(self.errors)
         try:
             self.expression()
         except Bad:
             self.i, self.depth = i, depth
+            del self.errors[noted:]
             self.type()
 
     def clauses(self, head) -> None:
         self.deeper()
         while not self.eat("}"):
-            if self.eat("case"):
-                level, self.level = self.level, 0
-                if head == self.simple:
-                    self.level = -2
-                head()
-                self.level = level
-            else:
-                self.need("default")
-            self.need(":")
-            level, self.level = self.level, 0
+            level, depth = self.level, self.depth
+            try:
+                if self.eat("case"):
+                    self.level = -2 if head == self.simple else 0
+                    head()
+                else:
+                    self.need("default")
+                self.need(":")
+            except Bad as e:
+                i = self.i
+                while self.k[i] not in (":", "case", "default", ";", "}", "END") and not self.starts_declaration(i):
+                    i += 1
+                if self.k[i] == "END" or self.starts_declaration(i):
+                    raise
+                self.note(e)
+                self.i, self.depth = i, depth
+                self.eat(":")
+            self.level = 0
             self.statements()
             self.level = level
         self.depth -= 1

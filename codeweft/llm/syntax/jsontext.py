@@ -78,7 +78,7 @@ def check(text: str) -> list[tuple[int, str]]:
                 p.i += 1
             while p.k[p.i] in (",", "}", "]"):
                 p.i += 1
-            if p.k[p.i] == "END" or len(p.errors) > 50:
+            if p.k[p.i] == "END":
                 break
             if p.k[p.i] == "STR" and p.k[p.i + 1] == ":":
                 p.i += 2

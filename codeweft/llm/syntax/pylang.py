@@ -299,8 +299,6 @@ class Python(Cursor):
                     self.i += 1
                 while self.k[self.i] in ("NEWLINE", "INDENT", "DEDENT"):
                     self.i += 1
-                if len(self.errors) > 200:
-                    return
 
     def statement(self) -> None:
         k = self.k[self.i]
