@@ -145,6 +145,22 @@ def test_encoding_matches_the_public_library(spark):
     assert got == {i: t.encode(x, add_special_tokens=False).ids if x else [] for i, x in enumerate(TEXTS)}
     assert {x["doc_id"]: x["text"] for x in TO.decode_corpus(encoded).collect()} == {i: x or "" for i, x in enumerate(TEXTS)}
     assert TO.encode_corpus(d.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "a b"), ((1 << 62) + 1, "a"), ((1 << 62) + 1, "a")], "doc_id long, text string")
+    assert sorted((str(x["doc_id"]), tuple(x["ids"])) for x in TO.encode_corpus(odd).collect()) == sorted([("None", (64, 275))] + [(str((1 << 62) + 1), (64,))] * 2)
+
+
+def test_merges_match_the_public_library():
+    import tiktoken
+
+    ranks = TO.read_ranks(f"{TO.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    public = tiktoken.Encoding("own", pat_str=TO.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(4)
+    for n in [1, 2, 3, 10, 23, 24, 25, 26, 60, 500] * 20:
+        w = "".join(r.choice("abcdetherion stion  é漢'") for _ in range(n)).encode()
+        want = public._encode_single_piece(w)
+        assert TO.merge_bytes(w, ranks) == TO._merge_long(w, ranks) == want
+    for w in (b"a" * 20_000, b" " * 20_000, "漢字".encode() * 5_000):
+        assert TO.merge_bytes(w, ranks) == public._encode_single_piece(w)
 
 
 # -- leaks
