@@ -197,6 +197,23 @@ def test_leaks_of_items_that_are_variants_of_each_other(spark):
     assert {(i, i) for i in range(9)} <= {(x["doc_id"], x["item_id"]) for x in LE.find_leaks(d, e).where("word_share > 0.95").collect()}
 
 
+def test_leaks_with_other_values(spark):
+    r = random.Random(6)
+    verbs = ["blocks", "merges", "keeps", "accepts", "reopens", "checks"]
+    def item(k, name, number):  # noqa: E306
+        q = random.Random(k)
+        return "Decide the case. " + " ".join(f"The {q.choice(verbs)} node of {name(q.randrange(4))} {q.choice(verbs)} {number(q.randrange(5))} edges before {name(q.randrange(4))}." for _ in range(8))
+    items = [item(k, lambda i, k=k: f"Orwen{'abcd'[i]}{'klmnopqr'[k]}", lambda i, k=k: str(100 * k + i)) for k in range(6)]
+    other = item(2, lambda i: ["Zubeor", "Tavolni", "Perzan", "Quafari"][i], lambda i: str(7000 + i))
+    mixed = item(3, lambda i: r.choice(["Zubeor", "Tavolni", "Perzan", "Quafari", "Halkor", "Miwenba"]), lambda i: str(r.randrange(10_000)))
+    docs = [(1, "Some words. " + other), (2, mixed), (3, other.lower().replace(".", "")), (4, items[1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    e = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x for x in LE.find_leaks(d, e).collect()}
+    assert (1, 2) in got and (3, 2) in got and got[1, 2]["consistency"] == 1.0 and got[1, 2]["template_share"] > 0.9 > got[1, 2]["word_share"]
+    assert (2, 3) not in got and got[4, 1]["word_share"] == 1.0
+
+
 # -- garbled text
 def test_garbled(spark):
     clean = ["Die größere Änderung prüft über müde Füße schließlich möglichst früh.", "L’écart créé à côté du modèle déjà validé a été très sévère.", "Новый снимок не совпадает со старым, проверка нашла ошибки.", "計画に含まれていないので、差し戻しました。", "La función está allí según el último día.", "A ATENÇÃO NÃO É VÁLIDA ATÉ A REVISÃO", "plain ascii", "├── a\n│   └── b", "a ≤ b · c ½ “q”"]
