@@ -37,7 +37,8 @@ BITS = 1 << 24
 EQUAL, SLOT, OTHER = 2, 1, -2
 
 _WORD = re.compile(r"[^\W_]+")
-_INVISIBLE = dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
+_HIDDEN = re.compile("[\xad\u200b-\u200d\u2060\ufeff]")
 #: Spans of an item that are identifiers: quoted, joined by underscores or dots, or of mixed case.
 _IDENTIFIER = re.compile(r"`[^`\n]*`|\w+(?:[._]\w+)+|\w*_\w+|\b[^\W\d_]*[a-z][A-Z]\w*")
 _SENTENCE = re.compile(r"(?:^|[.!?:;…\n])[\s\W]*$")
@@ -60,12 +61,18 @@ _AT_START, _AS_NAME, _AS_WORD = 1, 2, 3
 
 def words(text: str | None) -> list[str]:
     """Case-folded words; punctuation, white space, line marks and invisible characters do not count."""
-    return _WORD.findall(unicodedata.normalize("NFKC", text).translate(_INVISIBLE).casefold()) if text else []
+    if not text:
+        return []
+    if text.isascii():
+        return _ASCII_WORD.findall(text.lower())
+    if not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    return _WORD.findall(_HIDDEN.sub("", text).casefold())
 
 
 def sightings(text: str) -> list[tuple[str, int]]:
     """Every word of an item with how it was seen: a name (capital within a sentence, identifier) or not."""
-    text = unicodedata.normalize("NFKC", text).translate(_INVISIBLE)
+    text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
     named = np.zeros(len(text) + 1, bool)
     for m in _IDENTIFIER.finditer(text):
         named[m.start() : m.end()] = True
@@ -102,7 +109,8 @@ class Templates:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.kinds, self.codes, self.own, self.plain = [], [], [], []
+        self.kinds: list[str] = []
+        self.codes, self.own, self.plain = np.empty(1024, np.uint64), np.empty(1024, np.uint64), np.empty(1024, bool)
 
     def kind(self, w: str) -> str:
         """A placeholder's type, or the word where it is plain. A word that no item has as a plain word is a name."""
@@ -118,28 +126,22 @@ class Templates:
     def look_up(self, ws: list[str]) -> np.ndarray:
         if len(self.number) > 400_000:
             self.forget()
-        number, out = self.number, np.empty(len(ws), np.int64)
-        for i, w in enumerate(ws):
-            n = number.get(w)
-            if n is None:
-                n = number[w] = len(number)
-                k = self.kind(w)
-                self.kinds.append(k)
-                self.codes.append(xxhash.xxh64_intdigest(k))
-                self.own.append(xxhash.xxh64_intdigest(w))
-                self.plain.append(k == w)
-            out[i] = n
-        return out
+        number = self.number
+        for w in set(ws).difference(number):
+            n = number[w] = len(number)
+            if n == len(self.codes):
+                self.codes, self.own, self.plain = (np.concatenate((a, a)) for a in (self.codes, self.own, self.plain))
+            k = self.kind(w)
+            self.kinds.append(k)
+            self.codes[n], self.own[n], self.plain[n] = xxhash.xxh64_intdigest(k), xxhash.xxh64_intdigest(w), k == w
+        return np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
 
     def windows(self, ws: list[str]) -> np.ndarray:
         """The hash of the window at every position."""
         if len(ws) < WINDOW:
             return np.empty(0, np.int64)
         at = self.look_up(ws)
-        used, at = np.unique(at, return_inverse=True)
-        plain = np.array([self.plain[u] for u in used])[at]
-        code = np.array([self.codes[u] for u in used], np.uint64)[at]
-        own = np.array([self.own[u] for u in used], np.uint64)[at]
+        code, own, plain = self.codes[at], self.own[at], self.plain[at]
         n = len(ws) - WINDOW + 1
         enough = np.cumsum(np.concatenate(([0], plain)))
         enough = enough[WINDOW:] - enough[:-WINDOW] >= PLAIN
@@ -298,12 +300,12 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: float = LEAST) ->
     step = F.greatest(F.lit(20), F.col("n"))
     offset = F.col("doc_at") - F.col("item_at")
     grids = F.array(*[F.struct(F.lit(g).alias("g"), F.floor((offset + F.floor(step * g / 2)) / step).alias("b")) for g in (0, 1)])
-    stretches = hits.select("doc_id", "class_id", "n", step.alias("step"), F.explode(grids).alias("s")).groupBy("doc_id", "class_id", "n", "step", "s").count()
+    spread = hits.select("doc_id", "class_id", "n", offset.alias("offset"), F.explode(grids).alias("s"))
     pad = F.floor(F.col("n") / 4) + 10
-    lo = F.col("s.b") * F.col("step") - F.floor(F.col("step") * F.col("s.g") / 2) - pad
+    lo, hi = F.min("offset") - F.min(pad), F.max("offset") + F.min(F.col("n") + pad)
     first = F.greatest(F.lit(0), lo).cast("int")
-    length = (lo + F.col("step") + F.col("n") + 2 * pad - first).cast("int")
-    around = stretches.select("doc_id", "class_id", first.alias("first"), length.alias("length"))
+    stretches = spread.groupBy("doc_id", "class_id", "s").agg(first.alias("first"), (hi - first).cast("int").alias("length"))
+    around = stretches.select("doc_id", "class_id", "first", "length").distinct()
     near = around.hint("merge").join(met.select("doc_id", "words").hint("merge"), "doc_id").select("doc_id", "class_id", F.slice("words", F.col("first") + 1, F.col("length")).alias("part"))
     item_words = classes.select("class_id", F.col("words").alias("item"))
     pairs = near.join(F.broadcast(item_words), "class_id") if few else near.hint("merge").join(item_words.hint("merge"), "class_id")
