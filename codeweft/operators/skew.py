@@ -28,11 +28,12 @@ def join_on_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inne
     """Join ``left``, whose ``key`` may be skewed, with ``right``, which has one row per key.
 
     Rows of hot keys meet a broadcast of at most ``1/HOT_SHARE`` rows of ``right`` and never move;
-    only the others are shuffled, so no task gets a hot key's rows. ``how``: inner or left.
+    only the others are shuffled, so no task gets a hot key's rows. They are merged: their size is
+    not known to be bounded, so neither side may turn into a broadcast. ``how``: inner or left.
     """
     hot = hot_keys(left, key) if hot is None else hot
     if not hot:
-        return left.join(right, key, how)
+        return left.hint("merge").join(right.hint("merge"), key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False)) if len(hot) <= 32 else None
     if is_hot is None:
         names = left.sparkSession.createDataFrame([(h,) for h in hot], left.select(key).schema)
@@ -40,7 +41,7 @@ def join_on_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inne
         far = left.join(F.broadcast(names), key, "left_anti")
     else:
         near, far = (left.where(is_hot), right.where(is_hot)), left.where(~is_hot)
-    return near[0].join(F.broadcast(near[1]), key, how).unionByName(far.join(right, key, how))
+    return near[0].join(F.broadcast(near[1]), key, how).unionByName(far.hint("merge").join(right.hint("merge"), key, how))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
