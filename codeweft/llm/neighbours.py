@@ -29,7 +29,7 @@ NEIGHBOURS, LEAST = 5, 0.82
 #: Entries a cell holds on average: K = sqrt(n / PER_CELL) centroids a half for n vectors of a model.
 PER_CELL = 16
 #: Cells a query visits. Without a floor neighbours are far and may lie in any cell: a query then visits FAR of all cells.
-CELLS, FAR = 96, 0.5
+CELLS, FAR = 96, 0.7
 #: Rows per model on which the codebooks are trained (in expectation): the greater of SAMPLE and SAMPLE_PER_CENTROID * K.
 SAMPLE, SAMPLE_PER_CENTROID, ROUNDS = 20_000, 32, 10
 #: Entries of a group and queries that one task compares at a time.
