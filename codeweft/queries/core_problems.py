@@ -49,7 +49,7 @@ def p5_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return S.key_profile(table(spark, d, "edges"), probabilities=(0.5,)).select("target", "kind")
+    return S.heavy_edge_keys(table(spark, d, "edges")).select("target", "kind")
 
 
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -61,7 +61,11 @@ def p6_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return q.select("target", "kind", "n", "share", "p", F.unix_micros("seen_at").alias("seen_at_us"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_hierarchy, p3_descendants, p3_subtrees, p5_found, p5_intervals, p6_found, p6_counts, p6_quantiles)}
+def p6_key_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    return S.key_quantiles(table(spark, d, "edges")).select("target", "kind", "n", "p", F.unix_micros("seen_at").alias("seen_at_us"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_hierarchy, p3_descendants, p3_subtrees, p5_found, p5_intervals, p6_found, p6_counts, p6_quantiles, p6_key_quantiles)}
 
 _ID = "nullif(regexp_replace(trim(translate({0}, '\\', '/'), chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(160)), '^(\\./+)+', ''), '')"
 _WORD = "nullif(lower(trim({0}, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(160))), '')"
@@ -131,6 +135,11 @@ ORACLES = {
     FROM (SELECT path, h, island, min(k) k1, max(k) k2 FROM marked GROUP BY ALL) m JOIN gens a ON a.k = m.k1 JOIN gens b ON b.k = m.k2""",
     "p6_found": _KEYS + "SELECT target, kind FROM heavy",
     "p6_counts": _KEYS + "SELECT * FROM n",
+    "p6_key_quantiles": _KEYS + """, ranked AS (
+      SELECT target, kind, seen_at, count(*) OVER w n, count(seen_at) OVER w m, row_number() OVER (PARTITION BY target, kind ORDER BY seen_at NULLS LAST) rk
+      FROM rec WHERE target IS NOT NULL WINDOW w AS (PARTITION BY target, kind)),
+      ps AS (SELECT unnest([0.5::DOUBLE, 0.9::DOUBLE]) p)
+    SELECT target, kind, n, p, CASE WHEN m > 0 THEN epoch_us(seen_at) END AS seen_at_us FROM ranked, ps WHERE rk = greatest(1, ceil(p * m))""",
     "p6_quantiles": _KEYS + """, ranked AS (
       SELECT r.target, r.kind, r.seen_at, h.n, row_number() OVER (PARTITION BY r.target, r.kind ORDER BY r.seen_at) rk
       FROM rec r JOIN heavy h ON h.target = r.target AND h.kind IS NOT DISTINCT FROM r.kind),

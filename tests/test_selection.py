@@ -44,3 +44,32 @@ def test_skewed_join_equals_plain_join(spark, rows):
         assert rows(skew.join_on_skewed(left, right, "key", how, ["hot"])) == rows(left.join(right, "key", how))
         many = [f"k{i}" for i in range(60)]
         assert rows(skew.join_on_skewed(left, right, "key", how, many)) == rows(left.join(right, "key", how))
+
+
+def test_quantiles_of_every_key_with_negative_and_wide_values(spark):
+    r = random.Random(7)
+    data = [("hot" if r.random() < 0.5 else r.choice(["a", "b", None]), r.choice([r.randrange(-(10**6), 10**15), 3, -4, None])) for _ in range(4000)] + [("none", None), ("one", -9)]
+    df = spark.createDataFrame(data, "key string, value long")
+    got = {(x["key"], x["p"]): (x["n"], x["quantile"]) for x in S.exact_quantiles(df, ["key"], [0.0, 0.25, 0.5, 1.0]).collect()}
+    for k in {k for k, _ in data}:
+        values = sorted(v for t, v in data if t == k and v is not None)
+        for p in (0.0, 0.25, 0.5, 1.0):
+            assert got[k, p] == (sum(t == k for t, _ in data), values[max(1, math.ceil(p * len(values))) - 1] if values else None)
+    assert S.exact_quantiles(df.limit(0), ["key"], [0.5]).count() == 0
+
+
+def test_heavy_keys_at_the_bound(spark, rows):
+    df = spark.createDataFrame([("a",)] * 7 + [("b",)] * 6 + [(f"k{i}",) for i in range(687)], "key string")
+    assert rows(S.heavy_keys(df, ["key"], 0.01)) == [("a", 7)]
+    assert rows(S.heavy_keys(df, ["key"], 0.0085)) == [("a", 7), ("b", 6)]
+    assert rows(S.heavy_keys(df, ["key"], 0.01, total=600)) == [("a", 7), ("b", 6)]
+
+
+def test_selection_counts_bins_when_many_states_are_cold(spark):
+    r = random.Random(3)
+    data = [(f"k{r.randrange(1500)}", r.randrange(10**9)) for _ in range(12_000)]
+    df = spark.createDataFrame(data, "key string, value long")
+    got = {x["key"]: x["quantile"] for x in S.exact_quantiles(df, ["key"], [0.5]).collect()}
+    for k in {k for k, _ in data}:
+        values = sorted(v for t, v in data if t == k)
+        assert got[k] == values[max(1, math.ceil(0.5 * len(values))) - 1]
