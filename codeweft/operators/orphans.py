@@ -1,8 +1,10 @@
 """References to records that do not exist.
 
-The instants at which an id is live are integer keys (microseconds) of that id. Sorted, they
-compress into contiguous runs; a reference is as-of matched to the preceding run start of its id
-and is an orphan when it lies beyond that run's end, or when no run precedes it.
+Parent ids get sorted integers by a range partitioning, and these compress into contiguous runs: a
+run ends where ids are referenced that no parent has. Every referenced id is as-of matched to the
+preceding run start and does not exist beyond that run's end. For ids that do exist the instants
+at which they are live are integer keys again (microseconds), compressed into runs, and a
+reference is an orphan when it lies in none.
 """
 
 from __future__ import annotations
@@ -11,12 +13,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.ids import plain_id
-from codeweft.operators.skew import hot_keys
+from codeweft.operators.skew import hot_keys, join_on_skewed
 from codeweft.session import Scratch
 
 FOREVER = (1 << 63) - 1
 #: Groups of a hot id over which its references are spread.
 SALTS = 32
+#: An id with this share of the references is hot; there are at most 1,000.
+HOT_SHARE = 0.001
+#: Integer keys of a block; runs do not cross blocks, so no task sees more of them at once.
+BLOCK_BITS = 16
+#: Live runs that travel with their id; ids with more are matched by a sort of runs and references.
+CARRIED_RUNS = 16
 
 
 def compress_runs(keys: DataFrame, by: str = "id") -> DataFrame:
@@ -41,14 +49,15 @@ def compress_runs(keys: DataFrame, by: str = "id") -> DataFrame:
     )
 
 
-def beyond_runs(refs: DataFrame, runs: DataFrame, by: str = "id", pos: str = "pos") -> DataFrame:
+def beyond_runs(refs: DataFrame, runs: DataFrame, by: str = "id", pos: str = "pos", hot: list | None = None) -> DataFrame:
     """The rows of ``refs`` whose key (``by``, ``pos``) lies in no run; all columns of refs are kept.
 
     One sort of runs and references together per ``by`` gives the as-of match. References of hot
     ``by`` values are salted over ``SALTS`` groups, each of which gets a copy of that value's runs.
     A null ``pos`` matches nothing, so the reference is reported. Refs with null ``by`` are dropped.
+    ``hot`` lists the hot values where they are known; else they are counted.
     """
-    hot = hot_keys(refs, by)
+    hot = hot_keys(refs, by) if hot is None else hot
     cols = [c for c in refs.columns if c not in (by, pos)]
     refs = refs.where(F.col(by).isNotNull())
     is_hot = F.lit(False)
@@ -66,41 +75,61 @@ def beyond_runs(refs: DataFrame, runs: DataFrame, by: str = "id", pos: str = "po
     return matched.where((F.col("_ref") == 1) & lost).select(by, F.col("_pos").alias(pos), *[F.col("_row")[c].alias(c) for c in cols])
 
 
-def alias_closure(aliases: DataFrame, scratch: Scratch) -> DataFrame:
-    """All (old_id, new_id) pairs reachable in one or more steps, by doubling.
+def live_stays(nodes: DataFrame) -> DataFrame:
+    """Stretches of instants at which an id is live: id, first, last (microseconds, inclusive)."""
+    return nodes.select(
+        plain_id("id").alias("id"),
+        F.unix_micros("added_at").alias("first"),
+        F.when(F.col("deleted_at").isNull(), F.lit(FOREVER)).otherwise(F.unix_micros("deleted_at") - 1).alias("last"),
+    ).where("id is not null and first is not null and last >= first")
 
-    Cycles, repeated rows, self-renames and names that do not exist are allowed. The number of
-    rounds is the logarithm of the longest chain.
+
+def runs_through_aliases(stays: DataFrame, aliases: DataFrame, scratch: Scratch) -> DataFrame:
+    """Runs of instants at which an id that a renamed id leads to, in any number of steps, is live: id, first, last.
+
+    Pointer doubling: after round k an id holds the runs of all it reaches in fewer than 2**k steps
+    and points to what it reaches in exactly 2**k, so a chain costs its length times the logarithm
+    of its length, and no pairs of a chain are formed. Cycles, repeated rows, self-renames, several
+    new ids and names that do not exist are allowed.
     """
-    step = (
+    step = scratch.save(
         aliases.select(plain_id("old_id").alias("old_id"), plain_id("new_id").alias("new_id"))
         .where("old_id is not null and new_id is not null and old_id <> new_id").distinct()
     )
-    reach = scratch.save(step)
-    n = reach.count()
-    while n:
-        a, b = reach.alias("a"), reach.alias("b")
-        two = a.join(b, F.col("a.new_id") == F.col("b.old_id")).select("a.old_id", "b.new_id").where("old_id <> new_id")
-        wider = scratch.save(reach.union(two).distinct())
-        more = wider.count()
-        scratch.drop(reach)
-        reach = wider
-        if more == n:
-            break
-        n = more
-    return reach
+    ids = step.select(F.explode(F.array("old_id", "new_id")).alias("id")).distinct()
+    left = ids.count().bit_length()
+    runs = scratch.save(compress_runs(stays.hint("merge").join(ids.hint("merge"), "id", "left_semi")).select("id", F.col("run_start").alias("first"), F.col("run_end").alias("last")))
+    while left and step.limit(1).count():
+        p, r = step.alias("p").hint("merge"), runs.alias("r").hint("merge")
+        reached = p.join(r, F.col("p.new_id") == F.col("r.id")).select(F.col("p.old_id").alias("id"), "r.first", "r.last")
+        wider = scratch.save(compress_runs(runs.unionByName(reached)).select("id", F.col("run_start").alias("first"), F.col("run_end").alias("last")))
+        further = scratch.save(p.join(step.alias("q").hint("merge"), F.col("p.new_id") == F.col("q.old_id")).select("p.old_id", "q.new_id").distinct())
+        scratch.drop(runs, step)
+        runs, step, left = wider, further, left - 1
+    return runs
 
 
 def live_runs(nodes: DataFrame, aliases: DataFrame, scratch: Scratch) -> DataFrame:
     """Runs of instants at which an id, or an id it was renamed to in any number of steps, is live."""
-    stays = nodes.select(
-        plain_id("id").alias("id"),
-        F.unix_micros("added_at").alias("first"),
-        F.when(F.col("deleted_at").isNull(), F.lit(FOREVER)).otherwise(F.unix_micros("deleted_at") - 1).alias("last"),
-    ).where("id is not null and first is not null and last >= first")
-    renamed = alias_closure(aliases, scratch)
-    through = renamed.join(stays, renamed["new_id"] == stays["id"]).select(F.col("old_id").alias("id"), "first", "last")
-    return compress_runs(stays.unionByName(through))
+    stays = scratch.save(live_stays(nodes))
+    return compress_runs(stays.unionByName(runs_through_aliases(stays, aliases, scratch)))
+
+
+def numbered(ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """``ids`` (one row per id) with num: sorted integers, consecutive within each range of ids.
+
+    A range partitioning sorts the ids; the number of a row is its partition's and its place there,
+    so no task sees all of them. The result is written, which fixes the numbers.
+    """
+    return scratch.save(scratch.save(ids).repartitionByRange("id").sortWithinPartitions("id").withColumn("num", F.monotonically_increasing_id()))
+
+
+def missing_keys(keys: DataFrame) -> DataFrame:
+    """Of ``keys`` (num, referenced, parent) the numbers that are referenced and lie beyond the runs of parents: num."""
+    block = F.shiftright("num", BLOCK_BITS).alias("block")
+    parents = keys.where("parent").select(block, F.col("num").alias("first"), F.col("num").alias("last"))
+    asked = keys.where("referenced").select(block, F.col("num").alias("pos"))
+    return beyond_runs(asked, compress_runs(parents, "block"), "block", hot=[]).select(F.col("pos").alias("num"))
 
 
 def edge_references(edges: DataFrame) -> DataFrame:
@@ -112,6 +141,35 @@ def edge_references(edges: DataFrame) -> DataFrame:
     )
 
 
+def _orphans(refs: DataFrame, nodes: DataFrame, aliases: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``refs``, a written table, that name no live record."""
+    runs = scratch.save(live_runs(nodes, aliases, scratch))
+    of_id = _carried(runs)
+    asked = refs.groupBy("id").agg(F.count(F.lit(1)).alias("n_refs"))
+    ids = asked.hint("merge").join(of_id.hint("merge"), "id", "full").select("id", F.coalesce("n_refs", F.lit(0)).alias("n_refs"), F.coalesce("n_runs", F.lit(0)).alias("n_runs"), "runs")
+    keys = numbered(ids, scratch)
+    missing = missing_keys(keys.select("num", (F.col("n_refs") > 0).alias("referenced"), (F.col("n_runs") > 0).alias("parent")))
+    known = scratch.save(keys.where("n_refs > 0").hint("merge").join(missing.withColumn("missing", F.lit(True)).hint("merge"), "num", "left"))
+    total = refs.count()
+    hot = [r["id"] for r in known.where(F.col("n_refs") >= F.lit(max(1, total * HOT_SHARE))).select("id").collect()]
+    found = join_on_skewed(refs, known.select("id", "n_runs", "runs", "missing"), "id", hot=hot)
+    live = F.exists("runs", lambda r: (F.col("pos") >= r["run_start"]) & (F.col("pos") <= r["run_end"]))
+    carried = F.col("missing").isNotNull() | F.col("pos").isNull() | ((F.col("n_runs") <= CARRIED_RUNS) & ~F.coalesce(live, F.lit(False)))
+    lost = found.where(carried).select("ordinal", "side", "id", "pos")
+    if not known.where(F.col("n_runs") > CARRIED_RUNS).limit(1).count():
+        return lost
+    many = scratch.save(found.where(F.col("missing").isNull() & F.col("pos").isNotNull() & (F.col("n_runs") > CARRIED_RUNS)).select("ordinal", "side", "id", "pos"))
+    return lost.unionByName(beyond_runs(many, runs).select("ordinal", "side", "id", "pos"))
+
+
+def _carried(runs: DataFrame) -> DataFrame:
+    """One row per id: id, n_runs, runs (null where there are more than CARRIED_RUNS)."""
+    w = Window.partitionBy("id").orderBy("run_start")
+    first = runs.withColumn("_k", F.row_number().over(w))
+    kept = F.collect_list(F.when(F.col("_k") <= CARRIED_RUNS, F.struct("run_start", "run_end")))
+    return first.groupBy("id").agg(F.count(F.lit(1)).alias("n_runs"), kept.alias("runs")).withColumn("runs", F.when(F.col("n_runs") <= CARRIED_RUNS, F.col("runs")))
+
+
 def orphan_references(edges: DataFrame, nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     """Endpoints that name no live record: ordinal, side, id, seen_at; one row per (ordinal, side).
 
@@ -121,8 +179,10 @@ def orphan_references(edges: DataFrame, nodes: DataFrame, aliases: DataFrame) ->
     edges give an empty result. Other columns are ignored, whatever their names.
     """
     scratch = Scratch(edges.sparkSession, "orphans")
-    refs, runs = edge_references(edges), live_runs(nodes, aliases, scratch)
-    lost = beyond_runs(refs, runs)
+    return _one_each(_orphans(scratch.save(edge_references(edges)), nodes, aliases, scratch))
+
+
+def _one_each(lost: DataFrame) -> DataFrame:
     return lost.groupBy("ordinal", "side").agg(F.min("id").alias("id"), F.timestamp_micros(F.min("pos")).alias("seen_at"))
 
 
@@ -131,9 +191,25 @@ def orphan_report(edges: DataFrame, nodes: DataFrame, aliases: DataFrame) -> Dat
 
     A null month holds the references without a time.
     """
+    scratch = Scratch(edges.sparkSession, "orphans")
+    refs = scratch.save(edge_references(edges))
     month = F.date_format(F.timestamp_micros("pos"), "yyyy-MM").alias("month")
-    total = edge_references(edges).groupBy("side", month).agg(F.countDistinct("ordinal").alias("references"))
-    lost = orphan_references(edges, nodes, aliases).groupBy("side", F.date_format("seen_at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("orphans"))
+    total = refs.groupBy("side", month).agg(F.countDistinct("ordinal").alias("references"))
+    lost = _one_each(_orphans(refs, nodes, aliases, scratch)).groupBy("side", F.date_format("seen_at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("orphans"))
     on = (total["side"] == lost["side"]) & total["month"].eqNullSafe(lost["month"])
     n = F.coalesce(lost["orphans"], F.lit(0))
     return total.join(lost, on, "left").select(total["side"], total["month"], "references", n.alias("orphans"), F.round(n / F.col("references"), 6).alias("rate"))
+
+
+def orphan_keys(children: DataFrame, key: str, parents: DataFrame, parent_key: str) -> DataFrame:
+    """References by an integer key to another table: key, references; only keys that no parent has.
+
+    Parent keys, distinct by partial aggregation, compress into runs of consecutive integers per
+    block of 2**BLOCK_BITS; the distinct referenced keys are as-of matched to them. Null keys are no
+    references; repeated rows of either side are allowed; without parents every key is an orphan.
+    """
+    block = F.shiftright("pos", BLOCK_BITS).alias("block")
+    asked = children.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("pos")).agg(F.count(F.lit(1)).alias("references"))
+    held = parents.where(F.col(parent_key).isNotNull()).select(F.col(parent_key).cast("long").alias("pos")).distinct()
+    runs = compress_runs(held.select(block, F.col("pos").alias("first"), F.col("pos").alias("last")), "block")
+    return beyond_runs(asked.select(block, "pos", "references"), runs, "block", hot=[]).select(F.col("pos").alias("key"), "references")

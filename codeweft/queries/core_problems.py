@@ -9,6 +9,7 @@ from codeweft.operators import hierarchy as H
 from codeweft.operators import orphans as O
 from codeweft.operators import selection as S
 from codeweft.operators import snapshots as N
+from codeweft.operators.skew import union_all
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,20 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return O.orphan_report(*[table(spark, d, t) for t in ("edges", "nodes", "aliases")])
 
 
+#: Child table, its key, parent table, its key.
+REFERENCES = (
+    ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("orders", "o_orderkey", "lineitem", "l_orderkey"),
+)
+
+
+def p1_table_references(spark: SparkSession, d: str) -> DataFrame:
+    """Integer references between tables that have no parent row, orders without lines among them."""
+    t = lambda n: table(spark, d, n)
+    parts = [O.orphan_keys(t(a), x, t(b), y).select(F.lit(f"{a}.{x}").alias("reference"), F.lit(f"{b}.{y}").alias("parent"), "key", "references") for a, x, b, y in REFERENCES]
+    return union_all(parts)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return H.hierarchy(H.contains_links(table(spark, d, "edges")))
 
@@ -65,7 +80,7 @@ def p6_key_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return S.key_quantiles(table(spark, d, "edges")).select("target", "kind", "n", "p", F.unix_micros("seen_at").alias("seen_at_us"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_hierarchy, p3_descendants, p3_subtrees, p5_found, p5_intervals, p6_found, p6_counts, p6_quantiles, p6_key_quantiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_table_references, p3_found, p3_hierarchy, p3_descendants, p3_subtrees, p5_found, p5_intervals, p6_found, p6_counts, p6_quantiles, p6_key_quantiles)}
 
 _ID = "nullif(regexp_replace(trim(translate({0}, '\\', '/'), chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(160)), '^(\\./+)+', ''), '')"
 _WORD = "nullif(lower(trim({0}, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(160))), '')"
@@ -109,7 +124,15 @@ WITH rec AS (SELECT ordinal, max({_ID.format('target')}) target, max({_WORD.form
   heavy AS (SELECT * FROM n WHERE n >= 0.01 * (SELECT count(*) FROM rec))
 """
 
+def _orphan_sql(a: str, x: str, b: str, y: str) -> str:
+    return f"SELECT '{a}.{x}' AS reference, '{b}.{y}' AS parent, {x}::BIGINT AS key, count(*) AS \"references\" FROM {a} WHERE {x} NOT IN (SELECT {y} FROM {b} WHERE {y} IS NOT NULL) GROUP BY {x}"
+
+
 ORACLES = {
+    "p1_table_references": " UNION ALL ".join(
+        _orphan_sql(*p)
+        for p in REFERENCES
+    ),
     "p1_found": _P1 + "SELECT ordinal, side FROM found",
     "p1_report": _P1
     + """, t AS (SELECT side, strftime(seen_at AT TIME ZONE 'UTC', '%Y-%m') AS month, count(DISTINCT ordinal) AS refs FROM refs WHERE id IS NOT NULL GROUP BY 1, 2),

@@ -65,3 +65,31 @@ def test_against_brute_force_with_hot_key(spark, rows):
     assert {tuple(x) for x in O.orphan_references(*frames(spark, edges, nodes, aliases)).select("ordinal", "side").collect()} == want
     report = O.orphan_report(*frames(spark, edges, nodes, aliases)).collect()
     assert sum(x["orphans"] for x in report) == len(want) and sum(x["references"] for x in report) == 800
+
+
+def test_long_alias_chain_and_many_stays(spark, rows):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(70)]
+    nodes = [("c70", 3, 5), ("c35", 8, 9)] + [("m", 10 * k, 10 * k + 5) for k in range(40)]
+    edges = [("c0", "c40", 1, 4), ("c0", "c36", 2, 8), ("c70", "c71", 3, 4)] + [("m", "m", 100 + d, d) for d in range(0, 420, 3)]
+    got = rows(O.orphan_references(*frames(spark, edges, nodes, chain)).select("ordinal", "side"))
+    want = [(2, "target"), (3, "target")] + [(100 + d, side) for d in range(0, 420, 3) if d >= 400 or d % 10 >= 5 for side in ("source", "target")]
+    assert got == sorted(want, key=lambda r: (True, str(r[0]), True, str(r[1])))
+
+
+def test_missing_keys_come_from_runs_of_numbered_ids(spark):
+    from codeweft.session import Scratch
+
+    ids = spark.createDataFrame([(f"id{i:04}", i % 7 != 0, i % 3 == 0) for i in range(500)], "id string, parent boolean, referenced boolean")
+    keys = O.numbered(ids, Scratch(spark, "t"))
+    order = [r["num"] for r in keys.orderBy("id").collect()]
+    assert order == sorted(order) and len(set(order)) == 500
+    missing = {r["id"] for r in keys.join(O.missing_keys(keys), "num").collect()}
+    assert missing == {f"id{i:04}" for i in range(500) if i % 7 == 0 and i % 3 == 0}
+
+
+def test_orphan_keys(spark, rows):
+    children = spark.createDataFrame([(k, 1) for k in (1, 2, 2, 5, 70_000, 70_000, -4, None)], "k long, references int")
+    parents = spark.createDataFrame([(k,) for k in (1, 2, 3, 3, 70_001, None)], "k long")
+    assert rows(O.orphan_keys(children, "k", parents, "k")) == [(-4, 1), (5, 1), (70_000, 2)]
+    assert O.orphan_keys(children, "k", parents.limit(0), "k").count() == 5
+    assert O.orphan_keys(children.limit(0), "k", parents, "k").count() == 0
