@@ -13,21 +13,30 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _edge_free(c: Column) -> Column:
+    """Whether the first and the last character are no blanks; tells most strings without a scan."""
+    ends = [F.ascii(c), F.ascii(F.substring(c, -1, 1))]
+    return (ends[0] > 32) & (ends[0] != 160) & (ends[1] > 32) & (ends[1] != 160)
+
+
 def plain_id(c: Column | str) -> Column:
     """The one spelling of an endpoint; null where there is no reference.
 
     White space around, the direction of slashes and a leading current-directory mark do not
-    distinguish ids. Null, empty and blank endpoints become null.
+    distinguish ids. Null, empty and blank endpoints become null. Strings that are plain already
+    are told by their ends and one search, and pass as they are.
     """
-    t = F.btrim(F.translate(_col(c), "\\", "/"), F.lit(BLANKS))
+    c = _col(c)
+    t = F.btrim(F.translate(c, "\\", "/"), F.lit(BLANKS))
     t = F.when(t.startswith("./"), F.regexp_replace(t, r"^(\./+)+", "")).otherwise(t)
-    return F.when(F.length(t) > 0, t)
+    return F.when(_edge_free(c) & ~F.contains(c, F.lit("\\")) & ~c.startswith("./"), c).otherwise(F.when(F.length(t) > 0, t))
 
 
 def plain_word(c: Column | str) -> Column:
     """Lower case without white space around; null where empty (kinds, confidences, languages)."""
-    t = F.lower(F.btrim(_col(c), F.lit(BLANKS)))
-    return F.when(F.length(t) > 0, t)
+    c = _col(c)
+    t = F.lower(F.btrim(c, F.lit(BLANKS)))
+    return F.when(_edge_free(c), F.lower(c)).otherwise(F.when(F.length(t) > 0, t))
 
 
 def plain_hash(c: Column | str) -> Column:

@@ -21,6 +21,8 @@ FOREVER = (1 << 63) - 1
 SALTS = 32
 #: An id with this share of the references is hot; there are at most 1,000.
 HOT_SHARE = 0.001
+#: Alias chains of up to 2**PAIR_ROUNDS steps are closed as pairs.
+PAIR_ROUNDS = 4
 #: Integer keys of a block; runs do not cross blocks, so no task sees more of them at once.
 BLOCK_BITS = 16
 #: Live runs that travel with their id; ids with more are matched by a sort of runs and references.
@@ -87,23 +89,43 @@ def live_stays(nodes: DataFrame) -> DataFrame:
 def runs_through_aliases(stays: DataFrame, aliases: DataFrame, scratch: Scratch) -> DataFrame:
     """Runs of instants at which an id that a renamed id leads to, in any number of steps, is live: id, first, last.
 
-    Pointer doubling: after round k an id holds the runs of all it reaches in fewer than 2**k steps
+    Chains of up to 2**PAIR_ROUNDS steps are closed as pairs by doubling. What is longer goes on by
+    pointer doubling: after round k an id holds the runs of all it reaches in fewer than 2**k steps
     and points to what it reaches in exactly 2**k, so a chain costs its length times the logarithm
-    of its length, and no pairs of a chain are formed. Cycles, repeated rows, self-renames, several
+    of its length, and not all pairs of it are formed. Cycles, repeated rows, self-renames, several
     new ids and names that do not exist are allowed.
     """
     step = scratch.save(
         aliases.select(plain_id("old_id").alias("old_id"), plain_id("new_id").alias("new_id"))
         .where("old_id is not null and new_id is not null and old_id <> new_id").distinct()
     )
+    reach, n = step, step.count()
+    for _ in range(PAIR_ROUNDS):
+        wider = scratch.save(reach.unionByName(_compose(reach, reach).where("old_id <> new_id")).distinct())
+        reach, before, n = wider, n, wider.count()
+        if n == before:
+            return _over(reach, stays)
+    return _through_pointers(stays, step, scratch)
+
+
+def _compose(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.alias("a").hint("merge").join(b.alias("b").hint("merge"), F.col("a.new_id") == F.col("b.old_id")).select("a.old_id", "b.new_id")
+
+
+def _over(pairs: DataFrame, runs: DataFrame) -> DataFrame:
+    """What the ids that ``pairs`` point to hold: id, first, last."""
+    p, r = pairs.alias("p").hint("merge"), runs.alias("r").hint("merge")
+    return p.join(r, F.col("p.new_id") == F.col("r.id")).select(F.col("p.old_id").alias("id"), "r.first", "r.last")
+
+
+def _through_pointers(stays: DataFrame, step: DataFrame, scratch: Scratch) -> DataFrame:
     ids = step.select(F.explode(F.array("old_id", "new_id")).alias("id")).distinct()
     left = ids.count().bit_length()
-    runs = scratch.save(compress_runs(stays.hint("merge").join(ids.hint("merge"), "id", "left_semi")).select("id", F.col("run_start").alias("first"), F.col("run_end").alias("last")))
+    ends = [F.col("run_start").alias("first"), F.col("run_end").alias("last")]
+    runs = scratch.save(compress_runs(stays.hint("merge").join(ids.hint("merge"), "id", "left_semi")).select("id", *ends))
     while left and step.limit(1).count():
-        p, r = step.alias("p").hint("merge"), runs.alias("r").hint("merge")
-        reached = p.join(r, F.col("p.new_id") == F.col("r.id")).select(F.col("p.old_id").alias("id"), "r.first", "r.last")
-        wider = scratch.save(compress_runs(runs.unionByName(reached)).select("id", F.col("run_start").alias("first"), F.col("run_end").alias("last")))
-        further = scratch.save(p.join(step.alias("q").hint("merge"), F.col("p.new_id") == F.col("q.old_id")).select("p.old_id", "q.new_id").distinct())
+        wider = scratch.save(compress_runs(runs.unionByName(_over(step, runs))).select("id", *ends))
+        further = scratch.save(_compose(step, step).distinct())
         scratch.drop(runs, step)
         runs, step, left = wider, further, left - 1
     return runs
