@@ -52,7 +52,7 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_subtrees(spark: SparkSession, d: str) -> DataFrame:
-    return H.subtree_sizes(H.hierarchy(H.contains_links(table(spark, d, "edges")), with_paths=True))
+    return H.subtree_sizes(H.contains_links(table(spark, d, "edges")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
