@@ -49,13 +49,25 @@ def test_classify_files(spark):
     ]
     f = spark.createDataFrame([(p, c, 1, "k") for p, c in rows], "path string, content string, tokens int, reason string")
     got = {x["path"]: x["reason"] for x in HW.classify_files(f).collect()}
+    # a notice or a directory alone decides nothing
     assert got == {
         "one/own.py": None, "two/own.py": None, "one/lib/x.py": "vendored", "two/deep/y.py": "vendored", "one/gen.py": "repetitive", "one/data.py": "blob",
-        "one/parts.py": "blob", "one/note.py": "generated", "one/says.py": None, "one/vendor/z.py": "vendored", "one/vendor_portal/z.py": None, "one/empty.py": None,
+        "one/parts.py": "blob", "one/note.py": None, "one/says.py": None, "one/vendor/z.py": None, "one/vendor_portal/z.py": None, "one/empty.py": None,
     }
     assert HW.classify_files(f.limit(0)).count() == 0
 
 
+def test_shared_rules_survive_edits_and_marks_tell(spark):
+    shared = code(9, 77).split("\n")
+    copy = [x.replace("f77_3", "renamed") for x in shared[:20]] + ["# local patch"] + shared[20:]
+    accessors = lambda k, n: "# made by tool " + "abcdefghijkl"[k] + "\n" + "\n".join(f"class C{k}x{i}(object):\n    NUMBER = {i}\n    def get(self):\n        return self.raw[{i}]\n" for i in range(n))
+    rows = [("one/a.py", "\n".join(shared)), ("two/b.py", "\n".join(copy))] + [(f"r{k % 3}/g{k}.py", accessors(k, 30)) for k in range(11)]
+    rows += [("one/short.py", "# made by tool z\nclass Q(object):\n    x = 1\n")] + [(f"one/own{k}.py", code(6, 200 + k)) for k in range(6)] + [(f"two/own{k}.py", code(6, 300 + k)) for k in range(6)]
+    got = {x["path"]: x["reason"] for x in HW.classify_files(spark.createDataFrame(rows, "path string, content string")).collect()}
+    assert got["one/a.py"] == got["two/b.py"] == "vendored" and got["r0/g3.py"] in ("repetitive", "vendored") and got["one/short.py"] == "marked"
+    assert all(got[f"{r}/own{k}.py"] is None for r in ("one", "two") for k in range(6))
+
+
 # -- syntax
 VALID = {
     "python": ["", "x = 1\n", "def f(a, /, b=1, *c, d, **e) -> int:\n    return a\n", "with (open(a) as b, c):\n  pass", "match x:\n  case [1, *_] if y: pass\n  case {'a': 1, **r}: pass\n  case C(a=1) | None: pass",
