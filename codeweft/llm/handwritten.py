@@ -55,7 +55,7 @@ KEYWORDS = frozenset(
     package pass raise range return select self static struct super switch this throw true try type var while with
     yield None True False""".split()
 )
-FEATURES = "file long, path string, repository string, tokens long, grammar long, uses long, blob_chars long, chars long, spaces long, lines array<long>, marks array<long>"
+FEATURES = "file long, path string, repository string, tokens long, grammar long, uses long, blob_chars long, chars long, spaces long, lines array<long>, make long, marks array<long>"
 
 
 def _shape(lexeme: str) -> str:
@@ -132,7 +132,8 @@ def file_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "tokens": [len(s) for s in shapes], "grammar": final + 2 * rules, "uses": uses,
                 "blob_chars": blob, "chars": [len(t) for t in part["content"]],
                 "spaces": [len(t) - len("".join(t.split())) for t in part["content"]],
-                "lines": [line_symbols(t) for t in part["content"]],
+                "lines": (lines := [line_symbols(t) for t in part["content"]]),
+                "make": [xxhash.xxh64_intdigest(repr(sorted(set(x))[:MAKE_LINES])) - (1 << 63) for x in lines],
                 "marks": [marks(t, p) for t, p in zip(part["content"], part["path"])],
             })
 
@@ -194,14 +195,14 @@ def shared_cover(files: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def telling_files(files: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """Files with a mark that tells: file. ``files`` has file, repository, lines, marks; ``found`` has file, for those found so far.
+    """Files with a mark that tells: file. ``files`` has file, repository, make, marks; ``found`` has file, for those found so far.
 
     A mark tells when more than one repository and at least MARK_MAKES makes of files have it and at
     least MARK_SHARE of these makes have been found by their grammar. Files with the same MAKE_LINES
     least line symbols are one make, so that copies of one file are no evidence beyond the first.
     """
     known = files.hint("merge").join(found.select("file", F.lit(1).alias("_found")).hint("merge"), "file", "left")
-    uses = scratch.save(known.select("file", "repository", F.coalesce("_found", F.lit(0)).alias("_found"), F.xxhash64(F.slice(F.array_sort(F.array_distinct("lines")), 1, MAKE_LINES)).alias("make"), F.explode("marks").alias("mark")))
+    uses = scratch.save(known.select("file", "repository", F.coalesce("_found", F.lit(0)).alias("_found"), "make", F.explode("marks").alias("mark")))
     makes = uses.groupBy("mark", "make").agg(F.min("repository").alias("a"), F.max("repository").alias("b"), F.max("_found").alias("k"), F.min("_found").alias("all"), F.count(F.lit(1)).alias("rows"))
     per = makes.groupBy("mark").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"), F.min("all").alias("all"), F.sum("rows").alias("rows"))
     telling = scratch.save(per.where((F.col("a") != F.col("b")) & (F.col("n") >= MARK_MAKES) & (F.col("k") >= F.col("n") * MARK_SHARE) & (F.col("all") == 0)).select("mark", "rows"))
@@ -236,7 +237,7 @@ def classify_files(files: DataFrame) -> DataFrame:
         F.round(covered, 4).alias("shared_share"), "blob_chars", "chars",
     )
     first = scratch.save(first)
-    told = telling_files(features.select("file", "repository", "lines", "marks"), first.where("_reason is not null"), scratch).withColumn("_told", F.lit("marked"))
+    told = telling_files(features.select("file", "repository", "make", "marks"), first.where("_reason is not null"), scratch).withColumn("_told", F.lit("marked"))
     joined = first.hint("merge").join(told.hint("merge"), "file", "left")
     return joined.select("path", "repository", F.coalesce("_reason", "_told").alias("reason"), "tokens", "grammar_share", "shared_share", "blob_chars", "chars")
 
