@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions.ids import language_of, repository
 from codeweft.llm.syntax import ecma, golang, jsontext, pylang
-from codeweft.llm.syntax.base import line_of
+from codeweft.llm.syntax.base import DEEPEST, line_of
 
 CHECKS: dict[str, Callable[[str], list[tuple[int, str]]]] = {
     "python": pylang.check,
@@ -21,8 +21,8 @@ CHECKS: dict[str, Callable[[str], list[tuple[int, str]]]] = {
     "json": jsontext.check,
 }
 RESULT = "path string, language string, valid boolean, n_errors int, first_cause string, first_line int, errors array<struct<line:int,message:string>>"
-#: Frames the parsers may use; nesting is limited by base.DEEPEST.
-FRAMES = 40_000
+#: Frames the parsers may use: some 30 for each level of base.DEEPEST. They are on the heap, not on the C stack.
+FRAMES = 30 * DEEPEST
 
 
 def syntax_errors(text: str, language: str) -> list[tuple[int, str]] | None:

@@ -73,6 +73,13 @@ def p7_errors(spark: SparkSession, d: str) -> DataFrame:
     return PA.parse_files(_contents(spark, d)).where("valid = false").select("path", "language", "n_errors", "first_cause", "first_line")
 
 
+@query
+def p7_all_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Every error of every file, in the order of the text."""
+    listed = PA.parse_files(_contents(spark, d)).where("valid = false").select("path", "language", F.posexplode("errors").alias("number", "e"))
+    return listed.select("path", "language", "number", "e.line", "e.message")
+
+
 @query
 def p7_rates(spark: SparkSession, d: str) -> DataFrame:
     return PA.acceptance(PA.parse_files(_contents(spark, d)))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-#: Nesting beyond which a text counts as too deep to parse.
-DEEPEST = 1000
+#: Nesting beyond which a text counts as too deep to parse: what a worker's memory holds, far beyond what compilers take.
+DEEPEST = 200_000
 
 
 class Bad(Exception):

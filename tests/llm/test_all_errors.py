@@ -45,3 +45,14 @@ def test_go_keeps_later_functions_after_an_open_block(broken):
 @pytest.mark.parametrize(("language", "text"), [("go", "package a\nfunc f() {\n" + "x = = 1\n" * 300 + "}\n"), ("python", "x = = 1\n" * 300), ("javascript", "let a = ;\n" * 300), ("typescript", "let a = ;\n" * 300), ("json", "[" + ",\n".join(["1 2"] * 300) + "]")])
 def test_no_error_is_one_too_many(language, text):
     assert len({PA.line_of(text, at) for at, _ in PA.syntax_errors(text, language)}) == 300
+
+
+@pytest.mark.parametrize("n", [5_000, 30_000])
+def test_valid_but_deep_text_is_valid(n):
+    for language, text in [
+        ("javascript", "(" * n + "1" + ")" * n), ("javascript", "({a:" * n + "1" + "})" * n), ("javascript", "f(function(){" * n + "})" * n), ("javascript", "{" * n + "}" * n),
+        ("typescript", "let a: " + "Array<" * n + "string" + ">" * n), ("go", "package a\nvar x = " + "(" * n + "1" + ")" * n + "\n"), ("go", "package a\nfunc f() " + "{" * n + "}" * n + "\n"),
+        ("python", "[" * n + "]" * n + "\n"), ("json", "[" * n + "]" * n),
+    ]:
+        assert PA.syntax_errors(text, language) == [], (language, text[:20])
+        assert PA.syntax_errors(text[: len(text) // 2], language)
