@@ -15,6 +15,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,8 +29,6 @@ MEANT = ("utf-8", "cp1252", "cp1251", "koi8-r", "cp866", "euc_jp", "cp932", "mac
 CASED = ("cp1252+ upper", "cp1252+ lower", "cp1251 upper", "cp1250 upper", "mac_roman upper", "mac_roman lower")
 WRONG += CASED
 MEANT_FOR = {w: ("utf-8",) if w in CASED else ("utf-8", "euc_jp", "cp932") if w in ("cp932", "gbk") else MEANT for w in WRONG}
-#: Layers of wrong decoding that are undone.
-LAYERS = 4
 #: A document is garbled when its words' cost falls by so much in all under one pair of encodings.
 LEAST_DROP = 6.0
 #: Under an encoding that accepts any bytes, the drop must be so great and two different words must take part, or one whose
@@ -88,7 +87,10 @@ def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def pair_model(documents: DataFrame) -> dict[str, int]:
-    """Pair counts over all documents; at most the square of some 2,000 classes, whatever the corpus."""
+    """Pair counts over all documents; at most the square of some 2,900 classes, whatever the corpus.
+
+    Pairs with a character beyond ASCII only; the bound is 8.4 million rows of some 20 bytes.
+    """
     rows = documents.where("text is not null").select("text").mapInPandas(count_pairs, "pair string, n long")
     return {r["pair"]: r["n"] for r in rows.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
 
@@ -143,13 +145,14 @@ class Repairer:
                     out[wrong, meant] = before - after, text
                 if meant == "utf-8":
                     # layers of one encoding: a layer between may look no better than the outermost
-                    for layer in range(2, LAYERS + 1):
+                    # every layer undone shortens the word, so the loop ends by itself
+                    for layer in count(2):
                         raw_again = encode(text, wrong)
                         try:
                             deeper = raw_again.decode(meant) if raw_again else text
                         except UnicodeDecodeError:
                             break
-                        if deeper == text:
+                        if len(deeper) >= len(text):
                             break
                         text = deeper
                         after, after_mean = self.cost(text)
@@ -162,7 +165,7 @@ class Repairer:
     def repair(self, text: str) -> tuple[str, list[str], float]:
         """The text after as many round trips as lower its cost; the trips taken; the whole drop."""
         taken, total = [], 0.0
-        for _ in range(LAYERS * 2):
+        while True:  # every repair lowers the cost by LEAST_DROP at least, so it ends
             words = [w for w in _SPLIT.split(text) if not w.isascii()]
             gains: dict[tuple[str, str], float] = {}
             cores: dict[tuple[str, str], set[str]] = {}
@@ -229,9 +232,10 @@ _LOST = re.compile("[\x80-\x84\x86-\x9f]|\ufffd")
 
 
 def find_garbled(documents: DataFrame) -> DataFrame:
-    """Garbled documents: doc_id, trips (wrong/meant, outermost first), drop, lost, repaired.
+    """Garbled documents: doc_id, trips (wrong/meant, outermost first), drop, lost, reason, repaired.
 
-    ``lost`` tells that replacement or control characters remain, so that part of the original is
+    ``reason`` is ``round trip`` for texts that a trip repairs, and ``lost`` for those that no trip
+    repairs but that hold replacement or control characters, which no intended text does. ``lost`` tells that replacement or control characters remain, so that part of the original is
     gone. Null, empty and pure ASCII texts are never garbled; repeated rows give repeated results;
     whole texts are read, in parts of the text as well as in all of it. Other columns are ignored.
     """
@@ -247,8 +251,8 @@ def find_garbled(documents: DataFrame) -> DataFrame:
                 fixed, taken, drop = r.repair(text)
                 lost = bool(_LOST.search(fixed))
                 if taken or lost:
-                    out.append((doc, taken, round(drop, 3), lost, fixed))
-            yield pd.DataFrame(out, columns=["doc_id", "trips", "drop", "lost", "repaired"])
+                    out.append((doc, taken, round(drop, 3), lost, "round trip" if taken else "lost", fixed))
+            yield pd.DataFrame(out, columns=["doc_id", "trips", "drop", "lost", "reason", "repaired"])
 
     rows = documents.where("text is not null").select("doc_id", "text")
-    return rows.mapInPandas(run, "doc_id long, trips array<string>, drop double, lost boolean, repaired string")
+    return rows.mapInPandas(run, "doc_id long, trips array<string>, drop double, lost boolean, reason string, repaired string")

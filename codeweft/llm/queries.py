@@ -118,4 +118,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
     found = GA.find_garbled(table(spark, d, "documents"))
-    return found.select("doc_id", F.array_join("trips", ", ").alias("trips"), "lost", "repaired")
+    return found.select("doc_id", F.array_join("trips", ", ").alias("trips"), "lost", "reason", "repaired")
+
+
+@query
+def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by what shows that they are garbled, and whether all of the original came back."""
+    found = GA.find_garbled(table(spark, d, "documents"))
+    return found.groupBy("reason", "lost").agg(F.count(F.lit(1)).alias("documents"))

@@ -24,3 +24,13 @@ def test_unusual_words_stay():
     greek = ["The α release", "Ω and α", "naïve façade", "x½y", "Δt·v"]
     r = repairer([*CLEAN, *greek])
     assert [r.repair(t)[0] for t in greek] == greek
+
+
+def test_six_layers_are_undone(spark):
+    clean = "Die größere Änderung prüft über müde Füße schließlich möglichst früh."
+    deep = clean
+    for _ in range(6):
+        deep = deep.encode().decode("latin-1")
+    d = spark.createDataFrame([(i, clean) for i in range(60)] + [(100, deep), (101, "abc \ufffd def")], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in GA.find_garbled(d).collect()}
+    assert got[100]["repaired"] == clean and got[100]["reason"] == "round trip" and got[101]["reason"] == "lost" and set(got) == {100, 101}
