@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeweft.operators.skew import union_all
 from codeweft.session import Scratch
 from codeweft.sources.graph import STRUCTURAL_KINDS, file_of, is_file_node, is_test_path, metric_edges
 
@@ -17,28 +18,41 @@ def layers(links: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
     """Ids reached from seeds along links (src, dst, rank): id, depth, rank.
 
     Depth is the least number of steps; rank the highest confidence among the links that reach the
-    id at that depth (null for seeds). Without ``max_depth`` the whole closure.
+    id at that depth (null for seeds). Without ``max_depth`` the whole closure. Links whose end has
+    been seen are of no more use: they are taken out whenever the ids reached since the last time
+    make up a fair part of the links, so that a step reads what is still open and not all that was seen.
     """
     scratch = Scratch(links.sparkSession, "layers")
-    links = scratch.save(links.select("src", "dst", "rank"))
-    first = seeds.select("id").where("id is not null").distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast("int").alias("rank"))
-    parts = [scratch.save(first)]
+    seed = seeds.select("id").where("id is not null").distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast("int").alias("rank"))
+    parts = [scratch.save(seed)]
+    recent, since = [parts[0]], parts[0].count()
+    still, n = links.select("src", "dst", "rank"), None
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        seen = parts[0].select("id")
-        for p in parts[1:]:
-            seen = seen.unionByName(p.select("id"))
+        if n is None or since * 8 >= n:
+            still, old = scratch.save(_not_in(still, recent)), still
+            scratch.drop(old)
+            recent, since, n = [], 0, still.count()
+        if not n:
+            break
         frontier = parts[-1].select(F.col("id").alias("src"))
-        reached = links.join(frontier, "src").groupBy(F.col("dst").alias("id")).agg(F.max("rank").cast("int").alias("rank"))
-        fresh = scratch.save(reached.join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth"), "rank"))
-        if not fresh.limit(1).count():
+        reached = still.hint("merge").join(frontier.hint("merge"), "src").groupBy("dst").agg(F.max("rank").cast("int").alias("rank"))
+        fresh = scratch.save(_not_in(reached, recent).select(F.col("dst").alias("id"), F.lit(depth).alias("depth"), "rank"))
+        found = fresh.count()
+        if not found:
             break
         parts.append(fresh)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        recent.append(fresh)
+        since += found
+    return union_all(parts)
+
+
+def _not_in(rows: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    if not parts:
+        return rows
+    seen = union_all([p.select(F.col("id").alias("dst")) for p in parts])
+    return rows.hint("merge").join(seen.hint("merge"), "dst", "left_anti")
 
 
 def inbound(edges: DataFrame) -> DataFrame:

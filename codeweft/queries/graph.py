@@ -256,7 +256,7 @@ def affected_tests(spark, d):
 
 @query(
     _SQL
-    + _layers("SELECT source AS src, target AS dst FROM ee UNION SELECT target, source FROM ee WHERE kind IN ('contains', 'documents')", _ONE, 6)
+    + _layers("SELECT source AS src, target AS dst FROM ee UNION SELECT target, source FROM ee WHERE kind IN ('contains', 'documents')", _ONE, 32)
     + "SELECT id, depth FROM b"
 )
 def path_lengths(spark, d):
@@ -301,7 +301,7 @@ def dead_symbols(spark, d):
 
 @query(
     _SQL
-    + """, cl AS (SELECT DISTINCT source AS src, target AS dst FROM ee WHERE kind = 'calls' AND rank >= 1), en AS (SELECT id FROM n WHERE name LIKE 'export%'),
+    + f""", cl AS (SELECT DISTINCT source AS src, target AS dst FROM ee WHERE kind = 'calls' AND rank >= 1), en AS (SELECT id FROM n WHERE NOT {_IS_FILE}),
     w AS (SELECT id AS entry, id, 0 AS depth FROM en UNION SELECT w.entry, cl.dst, w.depth + 1 FROM w JOIN cl ON cl.src = w.id WHERE w.depth < 6),
     b AS (SELECT entry, id, min(depth) AS depth FROM w GROUP BY ALL) SELECT entry, max(depth) AS depth, count(*) - 1 AS steps FROM b GROUP BY entry"""
 )

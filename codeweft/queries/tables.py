@@ -66,7 +66,7 @@ def longest_prefix_area(spark, d):
 
 
 @query(
-    "WITH r AS (SELECT DISTINCT 'GET' AS verb, l_partkey % 50 AS k FROM lineitem), c AS (SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN 'GET' ELSE 'POST' END AS verb, o_custkey % 50 AS k, o_orderstatus AS s FROM orders) SELECT 'GET /orders/' || r.k || '/{status}/' AS route_id, c.verb || ' /orders/' || c.k || '/' || s AS call_id FROM r JOIN c ON r.verb = c.verb AND r.k = c.k"
+    "WITH r AS (SELECT DISTINCT 'GET' AS verb, l_partkey AS k FROM lineitem), c AS (SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN 'GET' ELSE 'POST' END AS verb, o_custkey AS k, o_orderstatus AS s FROM orders) SELECT 'GET /orders/' || r.k || '/{status}/' AS route_id, c.verb || ' /orders/' || c.k || '/' || s AS call_id FROM r JOIN c ON r.verb = c.verb AND r.k = c.k"
 )
 def route_match(spark, d):
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
