@@ -88,6 +88,33 @@ def stream_latest(spark, d):
     return T.upsert_stream(s, ["user_id"], "ts", Scratch(spark, "stream"), "latest")
 
 
+@query(
+    """WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+    k AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM s)
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM k GROUP BY user_id, session
+    HAVING epoch_ms(max(ts) + INTERVAL 6 HOUR) <= (SELECT epoch_ms(max(ts)) - 86400000 FROM events)"""
+)
+def stream_sessions(spark, d):
+    """Sessions that the watermark has closed; open ones are not given out yet."""
+    s = T.sessions(_stream(spark, d), "ts", "user_id", "6 hours", "1 day")
+    return T.run_to_end(s, "append", Scratch(spark, "stream"), "sessions")
+
+
+@query(
+    """SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events
+    WHERE ts >= TIMESTAMP '2024-01-16' AND epoch_ms(date_trunc('day', ts) + INTERVAL 1 DAY) <= (SELECT epoch_ms(max(ts)) - 2 * 86400000 FROM events) GROUP BY ALL"""
+)
+def stream_late_rows(spark, d):
+    """The later half of the events comes first; the stream is ended and resumed, and what follows is later than the watermark and dropped."""
+    scratch = Scratch(spark, "stream")
+    events, half = table(spark, d, "events"), F.lit("2024-01-16").cast("timestamp")
+    for part in (F.col("ts") >= half, F.col("ts") < half):
+        events.where(part).coalesce(1).write.mode("append").parquet(f"{scratch.root}/arriving")
+        s = T.windowed_totals(T.event_stream(spark, f"{scratch.root}/arriving", EVENTS), "ts", "event_type", "value")
+        out = T.run_to_end(s, "append", scratch, "late")
+    return out.withColumn("total", F.round("total", 4))
+
+
 @query()
 def framework_lines(spark, d):
     return R.framework_lines(contents(spark, d))

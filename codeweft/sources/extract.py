@@ -191,8 +191,8 @@ def sections(docs: DataFrame) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with a given schema; lines that do not fit are dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """JSON lines with a given schema; a line that does not fit is kept as it is in ``_rejected``."""
+    return spark.read.schema(f"{schema}, _rejected string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_rejected").json(path)
 
 
 def read_files(spark: SparkSession, root: str, ignored: str = r"/(\.git|node_modules|__pycache__|dist|build)/") -> DataFrame:

@@ -138,3 +138,25 @@ def test_claims_and_coverage(spark):
     assert one(spark, X.tail("t", 3), t="abcdef") == "...\ndef" and one(spark, X.head("t", 9), t="abc") == "abc"
     assert abs(one(spark, X.term_coverage("t", ("a", "zz"), (), ("q",)), t="A b") - (0.5 * 0.6 + 0.2) / 0.8) < 1e-9
     assert one(spark, X.term_coverage("t"), t="x") == 0.5
+
+
+def test_upsert_stream_goes_on_from_its_folder(spark, tmp_path, rows):
+    schema = "u long, ts long, v string"
+    folder, root = str(tmp_path / "in"), str(tmp_path / "state")
+    first = spark.createDataFrame([(i % 50, i, f"a{i}") for i in range(200)], schema)
+    second = spark.createDataFrame([(3, 1000, "new"), (70, 1, "z"), (4, 0, "old")], schema)
+    for part in (first, second):
+        part.coalesce(1).write.mode("append").parquet(folder)
+        got = T.upsert_stream(spark.readStream.schema(schema).parquet(folder), ["u"], "ts", Scratch(spark, "t"), "x", root)
+    want = {i: (150 + i, f"a{150 + i}") for i in range(50)} | {3: (1000, "new"), 70: (1, "z")}
+    assert {r["u"]: (r["ts"], r["v"]) for r in got.collect()} == want
+    assert {r["u"] for r in T.upsert_state(spark, root, got.schema).collect()} == set(want)
+    assert T.upsert_state(spark, str(tmp_path / "none"), got.schema).count() == 0
+
+
+def test_json_lines_keep_what_does_not_fit(spark, tmp_path):
+    from codeweft.sources.extract import read_json_lines
+
+    (tmp_path / "a.jsonl").write_text('{"id": 1, "x": "a"}\n{"id": "no number", "x": "b"}\n{broken\n')
+    got = read_json_lines(spark, str(tmp_path / "a.jsonl"), "id long, x string").collect()
+    assert [r["id"] for r in got] == [1, None, None] and [r["_rejected"] is None for r in got] == [True, False, False]
