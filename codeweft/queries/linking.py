@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeweft.operators import linking as K
+from codeweft.operators import routes as RT
 from codeweft.operators import snapshots as N
 from codeweft.operators import traversal as T
 from codeweft.queries import graph as Q
@@ -13,7 +14,9 @@ from codeweft.queries.core_problems import _FILES, _ID, table
 from codeweft.queries.graph import _FILE, _IS_FILE, _SQL, _TEST, graph, roots
 from codeweft.queries.resolution import CHANGED
 from codeweft.queries.sources import contents
-from codeweft.sources.graph import file_of, is_file_node
+from codeweft.sources import extract as E
+from codeweft.sources.graph import file_of
+from codeweft.sources.reports import framework_lines
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -208,3 +211,19 @@ def surface_stability(spark, d):
         sides.append(K.surfaces(c).join(c.select("path", F.sha2("content", 256).alias("h")), "path"))
     new, old = sides[0].alias("a"), sides[1].alias("b")
     return new.hint("merge").join(old.hint("merge"), F.col("a.path") == F.col("b.path")).where("a.h <> b.h").select("a.path", (F.col("a.surface") == F.col("b.surface")).alias("stable"))
+
+
+@query()
+def route_map(spark, d):
+    """Routes of the sources with handlers, consumers and shape differences (tested by fixture)."""
+    c = contents(spark, d).select("path", "content")
+    found = framework_lines(c).where("kind = 'route'").dropDuplicates(["path", "line"])
+    callables = E.extract(contents(spark, d)).where(F.col("what").isin("function", "method"))
+    handlers = callables.select(F.concat_ws("::", "path", "name").alias("id"), "path", F.col("line").cast("int").alias("line"))
+    out = RT.route_map(found, handlers, c)
+    return out.select("route", "verb", "url", "handler", "consumers", F.concat_ws(",", "missing").alias("missing"), F.concat_ws(",", "unused").alias("unused"), "risk")
+
+
+@query()
+def fetch_sites(spark, d):
+    return RT.fetch_sites(contents(spark, d)).select("site", "verb", "url", F.concat_ws(",", "keys").alias("keys"))

@@ -164,6 +164,17 @@ def redacted_documents(spark, d):
     return r.where("r <> text").select("id", F.col("r").alias("text"))
 
 
+_PLANTED = ["AKIA" + "Z" * 16, "secret_key=" + "a1B2" * 10, "ghu_" + "x9" * 18, "sk-" + "y8" * 12, "AIza" + "q7" * 17 + "w", "sk_live_" + "p6" * 9, "token: " + "z" * 18, "Bearer " + "b" * 18, "mysql://u:pw@h/d", "nothing"]
+_SAMPLE = "list_value(" + ", ".join(f"'{x}'" for x in _PLANTED) + ")[(doc_id % 10)::INT + 1]"
+
+
+@query(f"SELECT doc_id AS id, {_redacted('t')} AS text FROM (SELECT doc_id, text || ' ' || {_SAMPLE} || ' end' AS t FROM documents WHERE text IS NOT NULL)")
+def redacted_secrets(spark, d):
+    """Every document with a secret planted at its end, redacted."""
+    planted = F.concat_ws(" ", "text", F.element_at(F.array(*map(F.lit, _PLANTED)), (F.col("id") % 10).cast("int") + 1), F.lit("end"))
+    return documents(spark, d).select("id", X.redact(planted).alias("text"))
+
+
 def file_lines(spark, d):
     """Lines of the newest generation's files: path, line, text."""
     from codeweft.operators.snapshots import current_files, newest_generation
