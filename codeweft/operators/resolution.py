@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeweft.operators.skew import join_on_skewed
 from codeweft.operators.traversal import inbound, layers
 from codeweft.sources.graph import file_of, is_test_path, metric_edges
 
@@ -68,10 +69,15 @@ def unmentioned_symbols(symbols: DataFrame, contents: DataFrame) -> DataFrame:
     """
     lines = contents.select("path", F.posexplode(F.split("content", "\n")).alias("at", "text"))
     words = lines.select(F.col("path").alias("in_path"), (F.col("at") + 1).alias("at"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_]\w*)"), F.lit(1)))).alias("name"))
-    wanted = words.join(symbols.select("name").distinct(), "name", "left_semi")
-    met = symbols.join(wanted, "name")
-    outside = (F.col("in_path") != F.col("path")) | ~F.col("at").between(F.col("line"), F.greatest("line", "end_line"))
-    return symbols.select("id").distinct().join(met.where(outside).select("id"), "id", "left_anti")
+    per_file = words.groupBy("name", "in_path").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    wanted = per_file.hint("merge").join(symbols.select("name").distinct().hint("merge"), "name", "left_semi")
+    # of a name only the least and the greatest file matter, so that a common name costs one row, not its occurrences
+    spread = wanted.groupBy("name").agg(F.min("in_path").alias("_a"), F.max("in_path").alias("_b"))
+    own = wanted.select("name", F.col("in_path").alias("path"), "first", "last")
+    met = join_on_skewed(symbols.select("id", "path", "name", "line", "end_line"), spread, "name").join(own.hint("merge"), ["name", "path"], "left")
+    elsewhere = (F.col("_a") != F.col("path")) | (F.col("_b") != F.col("path"))
+    outside = elsewhere | (F.col("first") < F.col("line")) | (F.col("last") > F.greatest("line", "end_line"))
+    return symbols.select("id").distinct().hint("merge").join(met.where(outside).select("id").hint("merge"), "id", "left_anti")
 
 
 def disjoint_wave(tasks: DataFrame, size: int) -> list[str]:

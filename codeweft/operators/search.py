@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweft.functions.text import tokens
+from codeweft.session import Scratch
 
 K1, B = 1.2, 0.75
 _EMBEDDED = re.compile(r"[^a-z0-9_]+")
@@ -29,11 +30,13 @@ def bm25(docs: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     Only postings of the query's terms take part beyond the count of all documents and lengths.
     """
     terms = sorted(set(re.findall(r"[^\W_]+", query.lower())))
-    size = docs.select(F.size(tokens("text")).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
-    hits = docs.select("id", tokens("text").alias("ws")).where(F.forall(F.array(*map(F.lit, terms)), lambda t: F.array_contains(F.col("ws"), t)))
-    held = docs.select("id", F.explode(F.array_intersect(tokens("text"), F.array(*map(F.lit, terms)))).alias("term"))
-    found = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    tf = hits.select("id", F.size("ws").alias("length"), F.explode("ws").alias("term")).where(F.col("term").isin(terms)).groupBy("id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    # texts are cut into words once; only counts of the query's words go on
+    want = F.array(*map(F.lit, terms)).cast("array<string>")
+    cut = docs.select("id", tokens("text").alias("ws")).select("id", F.size("ws").alias("length"), F.filter("ws", lambda w: F.array_contains(want, w)).alias("own"))
+    cut = Scratch(docs.sparkSession, "bm25").save(cut)
+    size = cut.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
+    found = cut.select(F.explode(F.array_distinct("own")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    tf = cut.where(F.size(F.array_distinct("own")) == len(terms)).select("id", "length", F.explode("own").alias("term")).groupBy("id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     scored = tf.join(F.broadcast(found), "term").crossJoin(F.broadcast(size)).groupBy("id").agg((-F.sum(weight)).alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -96,3 +96,65 @@ def evict_oldest(entries: DataFrame, cap: int) -> DataFrame:
     drop = n["n"] // 4
     gone = entries.orderBy("created_at", "key").limit(drop).select("key")
     return entries.join(gone, "key", "left_anti")
+
+
+def publish(tables: dict[str, DataFrame], root: str, generation: int) -> None:
+    """Write a generation of several tables and make it the current one in a single step.
+
+    The tables go to a folder of their own, which nobody reads before the pointer names it; the
+    pointer is a file that is written beside and renamed, so that readers see one whole generation
+    or the one before. A generation that failed half-way is written anew under its number.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/generation={generation}/{name}")
+    jvm = spark.sparkContext._jvm
+    fresh, pointer = jvm.org.apache.hadoop.fs.Path(f"{root}/_next-{generation}"), jvm.org.apache.hadoop.fs.Path(f"{root}/current-{generation:012d}")
+    fs = fresh.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(fresh, True)
+    out.write(",".join(sorted(tables)).encode())
+    out.close()
+    fs.delete(pointer, False)
+    if not fs.rename(fresh, pointer):
+        raise OSError(f"generation {generation} could not be published")
+
+
+def published_generation(spark: SparkSession, root: str) -> int | None:
+    """The newest published generation, or None."""
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(base)] if fs.exists(base) else []
+    return max((int(n[8:]) for n in names if n.startswith("current-")), default=None)
+
+
+def published(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of the newest published generation."""
+    generation = published_generation(spark, root)
+    if generation is None:
+        raise FileNotFoundError(f"nothing is published in {root}")
+    return spark.read.parquet(f"{root}/generation={generation}/{name}")
+
+
+def sync(root: str, changed: DataFrame, nodes: DataFrame, edges: DataFrame) -> int:
+    """The next generation of a published graph after some paths changed; its number.
+
+    ``nodes`` (path) and ``edges`` (source_path, target_path) hold the new rows of the changed
+    paths; what does not touch a changed path is copied, and all is published at once.
+    """
+    spark = nodes.sparkSession
+    generation = (published_generation(spark, root) or 0) + 1
+    if generation == 1:
+        publish({"nodes": nodes, "edges": edges}, root, generation)
+        return generation
+    keep = copy_unaffected(published(spark, root, "nodes"), changed, nodes.select(*published(spark, root, "nodes").columns))
+    old = published(spark, root, "edges")
+    publish({"nodes": keep.select(*nodes.columns), "edges": copy_unaffected_edges(old, changed, edges.select(*old.columns)).select(*edges.columns)}, root, generation)
+    return generation
+
+
+def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of an exported graph document: {"nodes": [...], "edges": [...]}, one document a file."""
+    node = "id string, kind string, path string, name string, line int, end_line int"
+    edge = "source string, target string, kind string, confidence string"
+    doc = spark.read.schema(f"nodes array<struct<{node.replace(' ', ':').replace(',:', ',')}>>, edges array<struct<{edge.replace(' ', ':').replace(',:', ',')}>>").option("multiLine", True).json(path)
+    return doc.select(F.inline("nodes")), doc.select(F.inline("edges"))

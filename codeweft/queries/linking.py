@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codeweft.operators import linking as K
 from codeweft.operators import routes as RT
 from codeweft.operators import snapshots as N
+from codeweft.operators import store as ST
 from codeweft.operators import traversal as T
 from codeweft.queries import graph as Q
 from codeweft.queries import resolution as RQ
@@ -14,6 +15,7 @@ from codeweft.queries.core_problems import _FILES, _ID, table
 from codeweft.queries.graph import _FILE, _IS_FILE, _SQL, _TEST, graph, roots
 from codeweft.queries.resolution import CHANGED
 from codeweft.queries.sources import contents
+from codeweft.session import Scratch
 from codeweft.sources import extract as E
 from codeweft.sources.graph import file_of
 from codeweft.sources.reports import framework_lines
@@ -227,3 +229,20 @@ def route_map(spark, d):
 @query()
 def fetch_sites(spark, d):
     return RT.fetch_sites(contents(spark, d)).select("site", "verb", "url", F.concat_ws(",", "keys").alias("keys"))
+
+
+@query(
+    _SQL
+    + f"SELECT 'nodes' AS part, count(*) AS rows FROM n UNION ALL SELECT 'edges', count(*) FROM ee WHERE NOT ({_FILE.format('source')} LIKE '{CHANGED}') AND NOT ({_FILE.format('target')} LIKE '{CHANGED}') OR {_FILE.format('source')} LIKE '{CHANGED}'"
+)
+def synced_generation(spark, d):
+    """A published graph after a sync of the changed files: their nodes and outgoing edges are new, edges into them gone."""
+    n, e = graph(spark, d)
+    root = f"{Scratch(spark, 'sync').root}/graph"
+    edges = e.select("source", "target", "kind", file_of("source").alias("source_path"), file_of("target").alias("target_path"))
+    nodes = n.select("id", "kind", F.coalesce("path", F.lit("")).alias("path"))
+    changed = n.where(F.col("path").like(CHANGED)).select("path").distinct()
+    ST.sync(root, changed, nodes, edges)
+    ST.sync(root, changed, nodes.where(F.col("path").like(CHANGED)), edges.where(F.col("source_path").like(CHANGED)))
+    parts = [ST.published(spark, root, t).select(F.lit(t).alias("part")) for t in ("nodes", "edges")]
+    return parts[0].unionByName(parts[1]).groupBy("part").agg(F.count(F.lit(1)).alias("rows"))

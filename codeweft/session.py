@@ -28,11 +28,13 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     On a cluster this is ``spark.checkpoint.dir``; a folder of our own is used only where that
-    setting is absent, which is the case in local tests.
+    setting is absent, which is the case in local tests; a cluster without it is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="codeweft-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir()

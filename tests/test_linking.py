@@ -41,3 +41,28 @@ def test_surfaces_ignore_bodies_and_places(spark):
     c = spark.createDataFrame([("a", "def f(x):\n    return 1\n"), ("b", "\n\ndef  f(x):\n    return 2\n"), ("c", "def f(y):\n    return 1\n")], "path string, content string")
     s = {r["path"]: r["surface"] for r in K.surfaces(c).collect()}
     assert s["a"] == s["b"] != s["c"]
+
+
+def test_publish_and_sync(spark, tmp_path, rows):
+    from codeweft.operators import store as S
+
+    root = str(tmp_path / "g")
+    assert S.published_generation(spark, root) is None
+    node = lambda *r: spark.createDataFrame(list(r), "id string, path string")
+    edge = lambda *r: spark.createDataFrame(list(r), "source string, target string, source_path string, target_path string")
+    changed = spark.createDataFrame([("b",)], "path string")
+    assert S.sync(root, changed, node(("a1", "a"), ("b1", "b"), ("c1", "c")), edge(("a1", "b1", "a", "b"), ("a1", "c1", "a", "c"), ("b1", "c1", "b", "c"))) == 1
+    assert S.sync(root, changed, node(("b2", "b")), edge(("b2", "c1", "b", "c"))) == 2
+    assert rows(S.published(spark, root, "nodes")) == [("a1", "a"), ("b2", "b"), ("c1", "c")]
+    assert rows(S.published(spark, root, "edges").select("source", "target")) == [("a1", "c1"), ("b2", "c1")]
+    # a generation that was written but not published is not seen
+    node(("x", "x")).write.parquet(f"{root}/generation=3/nodes")
+    assert S.published(spark, root, "nodes").count() == 3
+
+
+def test_graph_document(spark, tmp_path, rows):
+    from codeweft.operators import store as S
+
+    (tmp_path / "g.json").write_text('{"nodes": [{"id": "a", "kind": "file", "line": 3}, {"id": "b"}],\n "edges": [{"source": "a", "target": "b", "kind": "calls"}]}')
+    n, e = S.read_graph_json(spark, str(tmp_path / "g.json"))
+    assert rows(n.select("id", "kind", "line")) == [("a", "file", 3), ("b", None, None)] and rows(e) == [("a", "b", "calls", None)]
