@@ -359,6 +359,19 @@ def label_communities(spark, d):
     return R.propagate_labels(_file_links(graph(spark, d)[1]))
 
 
+@query()
+def louvain_communities(spark, d):
+    return R.louvain(_file_links(graph(spark, d)[1]))
+
+
+@query()
+def community_modularity(spark, d):
+    """How well both ways of finding communities divide the files."""
+    links = _file_links(graph(spark, d)[1])
+    a = R.modularity(links, R.louvain(links)).select(F.lit("louvain").alias("method"), "modularity")
+    return a.unionByName(R.modularity(links, R.propagate_labels(links)).select(F.lit("labels").alias("method"), "modularity"))
+
+
 _CONTAINS = ", lk AS (SELECT DISTINCT source AS src, target AS dst FROM ee WHERE kind = 'contains')"
 
 

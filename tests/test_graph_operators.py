@@ -115,3 +115,19 @@ def test_pagerank_sums_to_one_and_matches(spark):
 def test_topological_levels_with_cycle(spark, rows):
     df = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "x"), ("y", "z")], "src string, dst string")
     assert rows(R.topological_levels(df)) == [("a", 0), ("b", 1), ("c", 2), ("x", -1), ("y", -1), ("z", -1)]
+
+
+def test_louvain_finds_planted_communities(spark):
+    import random
+
+    r = random.Random(5)
+    pairs = [(f"c{c}n{i:02}", f"c{c}n{j:02}") for c in range(6) for i in range(20) for j in range(i + 1, 20) if r.random() < 0.5]
+    pairs += [(f"c{r.randrange(6)}n{r.randrange(20):02}", f"c{r.randrange(6)}n{r.randrange(20):02}") for _ in range(40)] + [("c0n01", "c0n01"), (None, "x"), pairs[0], pairs[0][::-1]]
+    links = spark.createDataFrame(pairs, "src string, dst string")
+    found = R.louvain(links)
+    groups = {}
+    for x in found.collect():
+        groups.setdefault(x["community"], []).append(x["id"][:2])
+    assert sum(max(map(g.count, set(g))) for g in groups.values()) >= 114 and 4 <= len(groups) <= 9
+    assert R.modularity(links, found).first()[0] > 0.6
+    assert R.louvain(links.limit(0)).count() == 0
