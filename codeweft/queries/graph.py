@@ -339,7 +339,7 @@ def import_components(spark, d):
     return R.strong_components(_file_links(graph(spark, d)[1]))
 
 
-@query()
+@query(f"SELECT component, count(*) AS size, string_agg(id, ',' ORDER BY id) AS members FROM ({ORACLES['import_components']}) GROUP BY component HAVING count(*) > 1 ORDER BY size, component LIMIT 50")
 def import_cycles(spark, d):
     return R.import_cycles(_file_links(graph(spark, d)[1])).select("component", "size", F.concat_ws(",", "members").alias("members"))
 

@@ -69,7 +69,13 @@ def unmentioned_symbols(spark, d):
     return R.unmentioned_symbols(n.select("id", "path", "name", "line", "end_line"), contents(spark, d).select("path", "content"))
 
 
-@query()
+_STEM_OF = "regexp_replace(regexp_replace(string_split(path, '/')[-1], '\\.[A-Za-z.]+$', '', 'g'), '^test_|_test$|\\.test$|\\.spec$', '', 'g')"
+
+
+@query(
+    "WITH f AS (SELECT DISTINCT path FROM files WHERE generation_id = (SELECT max(id) FROM generations WHERE state = 'committed') AND path IS NOT NULL QUALIFY arg_max(content, ingested_at) OVER (PARTITION BY path) IS NOT NULL), "
+    + f"x AS (SELECT path, {_STEM_OF} AS stem, {_TEST.format('path')} AS test FROM f) SELECT DISTINCT a.path, b.path AS test FROM x a JOIN x b ON a.stem = b.stem AND NOT a.test AND b.test"
+)
 def suggested_tests(spark, d):
     files = contents(spark, d).select("path")
     return R.suggested_tests(files, files)

@@ -89,8 +89,7 @@ def framework_lines(files: DataFrame) -> DataFrame:
             for path, text in zip(pdf["path"], pdf["content"]):
                 for at, line in enumerate(text.split("\n"), 1):
                     for family, kind, pattern in FRAMEWORKS:
-                        m = pattern.search(line)
-                        if m:
+                        for m in pattern.finditer(line):
                             verb = m[1].upper() if m[1].lower() in ("get", "post", "put", "patch", "delete") else "ANY"
                             out.append((path, at, family, kind, verb, m[2]))
             yield pd.DataFrame(out, columns=["path", "line", "family", "kind", "verb", "name"])
