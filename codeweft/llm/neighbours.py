@@ -33,7 +33,9 @@ CELLS, FAR = 96, 0.7
 #: Rows per model on which the codebooks are trained (in expectation): the greater of SAMPLE and SAMPLE_PER_CENTROID * K.
 SAMPLE, SAMPLE_PER_CENTROID, ROUNDS = 20_000, 32, 10
 #: Entries of a group and queries that one task compares at a time.
-ENTRY_BLOCK, QUERY_BLOCK = 32_768, 65_536
+ENTRY_BLOCK, QUERY_BLOCK = 32_768, 32_768
+#: Queries compared at once, so that scores and cells of no more are in memory.
+NEAR_CHUNK, FAR_CHUNK = 8_192, 128
 
 
 def parse_vector(text: str | None) -> np.ndarray | None:
@@ -166,47 +168,52 @@ def unpack(packed: bytes) -> np.ndarray:
 
 def compare_cells(q: np.ndarray, q_cells: list[bytes], e: np.ndarray, e_cell: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each query the ``k`` best entries of the cells it visits: query, entry and cosine as arrays; ties by entry number."""
-    which, cell = [], []
-    for i, packed in enumerate(q_cells):
-        c = unpack(packed)
-        which.append(np.full(len(c), i))
-        cell.append(c)
-    which, cell = np.concatenate(which), np.concatenate(cell)
     held, starts, sizes = np.unique(e_cell, return_index=True, return_counts=True)
+    parts = []
+    chunk = NEAR_CHUNK if least > -1 else FAR_CHUNK
+    for at in range(0, len(q), chunk):
+        cells = [unpack(p) for p in q_cells[at : at + chunk]]
+        if least > -1:
+            row, col, cosine = _by_cell(q[at : at + chunk], cells, e, held, starts, sizes, least)
+        else:
+            row, col, cosine = _all_at_once(q[at : at + chunk], cells, e, e_cell, k)
+        order = np.lexsort((col, -cosine, row))
+        row, col, cosine = row[order], col[order], cosine[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        parts.append((at + row[best], col[best], cosine[best]))
+    return tuple(map(np.concatenate, zip(*parts)))
+
+
+def _by_cell(q: np.ndarray, cells: list[np.ndarray], e: np.ndarray, held: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cell by cell, the queries that visit it against its entries."""
+    which = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+    cell = np.concatenate(cells)
     there = np.isin(cell, held)
     which, cell = which[there], cell[there]
-    if not len(cell):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
-    if least > -1:
-        order = np.argsort(cell, kind="stable")
-        which, cell = which[order], cell[order]
-        found = []
-        seen, first = np.unique(cell, return_index=True)
-        for c, lo, hi in zip(seen, first, [*first[1:], len(cell)]):
-            at = np.searchsorted(held, c)
-            s = q[which[lo:hi]] @ e[starts[at] : starts[at] + sizes[at]].T
-            row, col = np.nonzero(s >= least)
-            if len(row):
-                found.append((which[lo + row], starts[at] + col, s[row, col]))
-    else:
-        # most cells are visited: all products at once, those of other cells are left out
-        found, span = [], int(max(cell.max(), e_cell.max())) + 1
-        edges = np.searchsorted(which, np.arange(0, len(q) + 256, 256))
-        for n, at in enumerate(range(0, len(q), 256)):
-            mask = np.zeros((min(256, len(q) - at), span), bool)
-            mask[which[edges[n] : edges[n + 1]] - at, cell[edges[n] : edges[n + 1]]] = True
-            s = np.where(mask[:, e_cell], q[at : at + 256] @ e.T, -np.inf)
-            floor = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -2.0)
-            row, col = np.nonzero((s >= floor[:, None]) & np.isfinite(s))
-            found.append((at + row, col, s[row, col]))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
-    row, col, cosine = map(np.concatenate, zip(*found))
-    order = np.lexsort((col, -cosine, row))
-    row, col, cosine = row[order], col[order], cosine[order]
-    start = np.searchsorted(row, row)
-    best = np.arange(len(row)) - start < k
-    return row[best], col[best], cosine[best]
+    order = np.argsort(cell, kind="stable")
+    which, cell = which[order], cell[order]
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
+    seen, first = np.unique(cell, return_index=True)
+    for c, lo, hi in zip(seen, first, [*first[1:], len(cell)]):
+        at = np.searchsorted(held, c)
+        s = q[which[lo:hi]] @ e[starts[at] : starts[at] + sizes[at]].T
+        row, col = np.nonzero(s >= least)
+        if len(row):
+            found.append((which[lo + row], starts[at] + col, s[row, col]))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def _all_at_once(q: np.ndarray, cells: list[np.ndarray], e: np.ndarray, e_cell: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where most cells are visited: all products, those of other cells left out."""
+    span = 1 + max(int(e_cell.max()), *(int(c[-1]) for c in cells if len(c)))
+    mask = np.zeros((len(q), span), bool)
+    for i, c in enumerate(cells):
+        mask[i, c] = True
+    s = q @ e.T
+    s[~mask[:, e_cell]] = -np.inf
+    floor = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -2.0)
+    row, col = np.nonzero((s >= floor[:, None]) & np.isfinite(s))
+    return row, col, s[row, col]
 
 
 class Index:
