@@ -385,7 +385,7 @@ def index_quality(vectors: DataFrame, least: float = LEAST, neighbours: int = NE
     """Recall of the index and the share of entries it compares, by model: model, entries, queries, neighbours, found, recall, share.
 
     Queries are the distinct vectors whose id hashes to a multiple of 50, against all; the truth is
-    brute force in blocks over neighbours of cosine >= ``least``.
+    brute force in blocks over neighbours of cosine >= ``least``; without any the recall is null.
     """
     scratch = Scratch(vectors.sparkSession, "quality")
     entries = _classes(vectors, scratch)[1].select("id", "model", "vec")
@@ -398,4 +398,4 @@ def index_quality(vectors: DataFrame, least: float = LEAST, neighbours: int = NE
     rows = seen.hint("merge").join(hits.hint("merge"), "id", "left").groupBy("model").agg(
         F.max("of").alias("entries"), F.count(F.lit(1)).alias("queries"), F.coalesce(F.sum("neighbours"), F.lit(0)).alias("neighbours"), F.coalesce(F.sum("found"), F.lit(0)).alias("found"), F.avg(F.col("compared") / F.col("of")).alias("share")
     )
-    return rows.select("model", "entries", "queries", "neighbours", "found", F.round(F.col("found") / F.col("neighbours"), 4).alias("recall"), F.round("share", 4).alias("share"))
+    return rows.select("model", "entries", "queries", "neighbours", "found", F.round(F.try_divide(F.col("found"), F.col("neighbours")), 4).alias("recall"), F.round("share", 4).alias("share"))
