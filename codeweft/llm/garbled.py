@@ -83,7 +83,7 @@ def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if not word.isascii():
                     w = " " + "".join(map(char_class, word)) + " "
                     n.update(w[i : i + 2] for i in range(len(w) - 1))
-        yield pd.DataFrame({"pair": list(n), "n": list(n.values())}).astype({"n": "int64"})
+        yield pd.DataFrame(list(n.items()), columns=["pair", "n"]).astype({"n": "int64"})
 
 
 def pair_model(documents: DataFrame) -> dict[str, int]:

@@ -227,7 +227,7 @@ def plain_words(items: DataFrame) -> bytes:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             seen = {s for t in pdf["text"] for s in sightings(t)}
-            yield pd.DataFrame({"word": [w for w, _ in seen], "how": [h for _, h in seen], "bit": [bit_of(w) + 1 for w, _ in seen]}).astype({"how": "int32", "bit": "int64"})
+            yield pd.DataFrame([(w, h, bit_of(w) + 1) for w, h in seen], columns=["word", "how", "bit"]).astype({"how": "int32", "bit": "int64"})
 
     seen = items.select("text").mapInPandas(run, "word string, how int, bit long")
     return _bitmap(seen.groupBy("word", "bit").agg(F.max("how").alias("how")).where(F.col("how") != _AS_NAME).select("bit"))

@@ -296,7 +296,7 @@ class Index:
 
         def compare(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
             if not len(queries) or not len(held):
-                return pd.DataFrame({"id": [], "other": [], "cosine": []})
+                return pd.DataFrame([], columns=["id", "other", "cosine"])
             held = held.sort_values(["cell", "id"])
             row, col, cosine = compare_cells(_matrix(queries["vec"]), list(queries["cells"]), _matrix(held["vec"]), held["cell"].to_numpy(), neighbours + 2, least)
             return pd.DataFrame({"id": queries["id"].to_numpy()[row], "other": held["id"].to_numpy()[col], "cosine": cosine.astype(np.float64)})
@@ -312,7 +312,7 @@ class Index:
 
         def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield pdf.assign(cells=[unpack(c) for c in pdf["cells"]])
+                yield pd.DataFrame([(i, m, g, unpack(c)) for i, m, g, c in zip(pdf["id"], pdf["model"], pdf["grp"], pdf["cells"])], columns=["id", "model", "grp", "cells"])
 
         asked = self.routed.hint("merge").join(queries.select("id").hint("merge"), "id").select("id", "model", "grp", "cells").mapInPandas(cells, "id string, model string, grp int, cells array<int>")
         seen = asked.select("id", "model", "grp", F.explode("cells").alias("cell")).hint("merge").join(counts.hint("merge"), ["model", "grp", "cell"])
@@ -334,7 +334,7 @@ def brute_force(entries: DataFrame, queries: DataFrame, neighbours: int = NEIGHB
 
     def compare(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(held):
-            return pd.DataFrame({"id": [], "other": [], "cosine": []})
+            return pd.DataFrame([], columns=["id", "other", "cosine"])
         held = held.sort_values("id")
         all_cells = [pack(np.zeros(1, np.int64), 1)] * len(queries)
         row, col, cosine = compare_cells(_matrix(queries["vec"]), all_cells, _matrix(held["vec"]), np.zeros(len(held), np.int64), neighbours + 1, float("-inf"))

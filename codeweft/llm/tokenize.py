@@ -121,7 +121,7 @@ def encode_words(distinct: DataFrame, ranks_path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ranks = read_ranks(ranks_path)
         for pdf in batches:
-            yield pd.DataFrame({"word": pdf["word"], "ids": [np.array(merge_bytes(w.encode(), ranks), np.int32).tobytes() for w in pdf["word"]]})
+            yield pd.DataFrame({"word": pdf["word"].to_numpy(), "ids": [np.array(merge_bytes(w.encode(), ranks), np.int32).tobytes() for w in pdf["word"]]})
 
     return distinct.mapInPandas(run, "word string, ids binary")
 

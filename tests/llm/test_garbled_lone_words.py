@@ -34,3 +34,8 @@ def test_six_layers_are_undone(spark):
     d = spark.createDataFrame([(i, clean) for i in range(60)] + [(100, deep), (101, "abc \ufffd def")], "doc_id long, text string")
     got = {x["doc_id"]: x for x in GA.find_garbled(d).collect()}
     assert got[100]["repaired"] == clean and got[100]["reason"] == "round trip" and got[101]["reason"] == "lost" and set(got) == {100, 101}
+
+
+def test_plain_ascii_corpus(spark):
+    d = spark.createDataFrame([(1, "plain"), (2, "more plain words")], "doc_id long, text string")
+    assert GA.find_garbled(d).count() == 0

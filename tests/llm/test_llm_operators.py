@@ -196,6 +196,8 @@ def test_leaks(spark):
     assert {(1, 100), (1, 200), (2, 101), (3, 103), (4, 102), (11, 100), (12, 200), (13, 106)} <= exact
     assert not any(k[0] in (5, 6, 7, 8, 9) for k in exact)
     assert got[(10, 104)]["consistency"] >= 0.8 and got[(10, 104)]["template_share"] > 0.8
+    blank = spark.createDataFrame([(1, "s", ""), (2, "s", "--")], "item_id long, suite string, text string")
+    assert LE.find_leaks(d, blank).count() == 0
     assert LE.find_leaks(d.limit(0), e).count() == 0 and LE.find_leaks(d, e.limit(0)).count() == 0
 
 
