@@ -185,7 +185,8 @@ def runtime_edges(spark, d):
 def runtime_edge_merge(spark, d):
     e = table(spark, d, "events")
     static = e.select(F.col("event_type").alias("source"), F.lit("view").alias("target"), F.lit("calls").alias("kind"))
-    return L.merge_runtime(static, L.transitions(e, "user_id", ["ts", "event_id"], "event_type").withColumn("kind", F.lit("calls")))
+    runtime = L.transitions(e, "user_id", ["ts", "event_id"], "event_type").where("target is not null")
+    return L.merge_runtime(static, runtime.withColumn("kind", F.lit("calls")))
 
 
 @query("SELECT l_linestatus AS arm, count(*) AS n, count(*) FILTER (t AND v) AS tp, count(*) FILTER (NOT t AND v) AS fp, count(*) FILTER (t AND NOT v) AS fn, count(*) FILTER (NOT t AND NOT v) AS tn, round((count(*) FILTER (t = v)) / count(*), 6) AS accuracy FROM (SELECT l_linestatus, l_returnflag = 'R' AS t, l_discount > 0.05 AS v FROM lineitem) GROUP BY l_linestatus")
